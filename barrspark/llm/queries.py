@@ -5,22 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from barrspark.llm import block_naming, byte_bpe, langid_bayes, simhash_ball, temperature_mix
+from pyspark.sql import functions as F
+
+from barrspark.llm import (
+    arc_warc,
+    block_naming,
+    byte_bpe,
+    collision_counting,
+    langid_bayes,
+    log_bilinear,
+    quote_linking,
+    simhash_ball,
+    skip_chain_crf,
+    temperature_mix,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quote_linking.conversations(_table(spark, sf_dir, "conversations"))
+
+
+def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_counting.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash_ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ball.simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op4_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skip_chain_crf.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temperature_mix.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def bpe_vocabulary() -> tuple[dict[bytes, int], str]:
     """Ranks and pattern of the public vocabulary that the queries use."""
     import public_tokenizers
@@ -33,6 +61,13 @@ def op7_byte_bpe_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks)
 
 
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives of the pages, read back; the record's key is the page."""
+    return arc_warc.archive_pages(_table(spark, sf_dir, "pages")).select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op9_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -50,12 +85,27 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id IS NOT DISTINCT FROM g.keep_i
 FROM n JOIN g USING (norm)
 """
 
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN keep IS NULL OR keep IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keep IS NULL OR keep IS NOT DISTINCT FROM page_id THEN NULL ELSE keep END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quotation_linking,
+        op2_collision_counting,
         op3_simhash_ball_hashing,
+        op4_skip_chain_crf,
         op5_temperature_mixing,
+        op6_log_bilinear,
         op7_byte_bpe_fold,
+        op8_arc_to_warc,
         op9_block_naming,
         op10_naive_bayes_langid,
     )
@@ -63,5 +113,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_temperature_mixing": temperature_mix.ORACLE_SQL,
+    "op8_arc_to_warc": OP8_SQL,
     "op9_block_naming": OP9_SQL,
 }
