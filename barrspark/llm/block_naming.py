@@ -30,10 +30,16 @@ def normalised(text: Column) -> Column:
 
 
 def _blocks(norm: Column, size: int) -> Column:
-    """All blocks of a text, in order; an empty text has one empty block."""
-    raw = norm.cast("binary")
-    last = F.greatest(F.floor((F.length(raw) - 1) / F.lit(size)), F.lit(0)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * size + 1, F.lit(size)))
+    """All blocks of a text, in order; an empty text has one empty block.
+
+    The bytes are bound once, as a lambda's outer expressions are evaluated for every element.
+    """
+
+    def cut(raw: Column) -> Column:
+        last = F.greatest(F.floor((F.length(raw) - 1) / F.lit(size)), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * size + 1, F.lit(size)))
+
+    return F.element_at(F.transform(F.array(norm.cast("binary")), cut), 1)
 
 
 def _numbered(distinct: DataFrame, keys: list[str], name: str) -> DataFrame:
