@@ -41,9 +41,10 @@ def wide(scaffolded: DataFrame, row_order: DataFrame, barcodes: list[str]) -> Da
     """The table as it is written: a row a feature, in order, a column a barcode, zeros filled in."""
     extra = scaffolded.where("row_ordinal is null").select("feature").distinct()
     rows = row_order.groupBy("feature").agg(F.min("ordinal").alias("row_ordinal")).unionByName(extra.withColumn("row_ordinal", F.lit(None).cast("long")))
-    filled = scaffolded.groupBy("feature").pivot("cell_barcode", list(dict.fromkeys(barcodes))).agg(F.sum("n"))
-    out = rows.join(filled, "feature", "left").fillna(0)
-    return out.orderBy(F.col("row_ordinal").asc_nulls_last(), "feature").drop("row_ordinal")
+    columns = list(dict.fromkeys(barcodes))
+    filled = scaffolded.groupBy("feature").pivot("cell_barcode", columns).agg(F.sum("n"))
+    out = rows.join(filled, "feature", "left").orderBy(F.col("row_ordinal").asc_nulls_last(), "feature")
+    return out.select("feature", *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(c) for c in columns])
 
 
 def transcript_rows(reads: DataFrame, ids: DataFrame, names: DataFrame, mode: str = "auto", max_reads: int = 250_000) -> tuple[str, DataFrame]:
