@@ -136,6 +136,18 @@ def test_reply_order(spark):
     assert by[2, 0].n_linked == 1 and by[2, 0].reply_to is None
     assert by[None, 0].n_linked == 1 and by[1, 4].n_linked == 0
     assert quote_linking.conversations(df.limit(0)).count() == 0
+    # the SQL gives the same rows
+    import duckdb
+    import pandas as pd
+
+    from barrspark.llm.queries import OP1_SQL
+
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame(data, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    con.execute("CREATE TABLE conversations AS SELECT * FROM given")
+    order = ["conv_id", "turn", "role", "text", "n_levels", "n_passages", "n_linked", "reply_to", "root_turn"]
+    want = con.execute(f"SELECT {', '.join(order)} FROM ({OP1_SQL})").fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in order)) for r in got)
 
 
 def brute_pipeline(docs):
