@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from barrspark.llm.common import materialize
 
 #: Bounds on the broadcast dictionary.
-MAX_PIECES, MAX_PIECE_BYTES = 1 << 19, 32
+MAX_PIECES, MAX_PIECE_BYTES = 400_000, 32
 #: Pieces above this many bytes are merged with a heap.
 FOLD_BYTES = 256
 #: Buckets of the literal rank map, a prime, so that pairs spread by the remainder.
 _BUCKETS = 65_521
 _PLACES = 1 << 20
-_CACHE = 200_000
+#: Stretches that a task counts, and that it remembers, at most.
+_COUNTED, _CACHE = 150_000, 50_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -44,19 +45,36 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def chunks(text: str) -> Iterator[str]:
-    """Stretches that start at single spaces between other characters, where a piece starts too."""
-    held = None
-    for part in text.split(" "):
-        if held is None:
-            held = part
-        elif not held or not part or held[-1].isspace() or part[0].isspace():
-            held += " " + part
+_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+
+
+def chunks(text: str) -> list[str]:
+    """The text cut at single spaces between other characters, where a piece starts too.
+
+    All but the first stretch follow a space, which is left out.
+    """
+    parts = text.split(" ")
+    near = any(w in text and (" " + w in text or w + " " in text) for w in _SPACES)
+    if not (near or text[:1].isspace() or text[-1:].isspace()):
+        return parts
+    out = parts[:1]
+    for part in parts[1:]:
+        held = out[-1]
+        if not held or not part or held[-1].isspace() or part[0].isspace():
+            out[-1] = held + " " + part
         else:
-            yield held
-            held = " " + part
-    if held:
-        yield held
+            out.append(part)
+    return out
+
+
+def _pieces(chunk: str, find) -> list[str]:
+    """Pieces of a stretch with the space before it; only letters are one piece."""
+    return [" " + chunk] if chunk.isalpha() else find(" " + chunk)
+
+
+def _key(piece: str) -> str:
+    """A piece's key in the dictionary: a stretch that is one piece is its own key."""
+    return piece[1:] if piece[0] == " " else "\0" + piece
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
@@ -139,22 +157,28 @@ def piece_counts(texts: DataFrame, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        seen: Counter[str] = Counter()
+        seen: Counter[str | None] = Counter()
+        pieces: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            pieces: Counter[str] = Counter()
+            seen.pop(None, None)
             for chunk, n in seen.items():
-                for p in find(chunk):
+                for p in _pieces(chunk, find):
                     pieces[p] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays(
+            out = pa.RecordBatch.from_arrays(
                 [pa.array([p.encode() for p in pieces], pa.binary()), pa.array(list(pieces.values()), pa.int64())], ["piece", "n"]
             )
+            seen.clear()
+            pieces.clear()
+            return out
 
         for b in batches:
             for x in b.column(0):
-                seen.update(chunks(x.as_py() or ""))
-                if len(seen) > 2 * _CACHE:
+                parts = chunks(x.as_py() or "")
+                pieces.update(find(parts[0]))
+                parts[0] = None
+                seen.update(parts)
+                if len(seen) > _COUNTED:
                     yield flush()
         yield flush()
 
@@ -198,44 +222,58 @@ def _split_known(pattern: str, known, ranks):
     """Each text as packed ids of known pieces, and the distinct other pieces with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, table, by_rank = regex.compile(pattern).findall, known.value, ranks.value
+        find, by_rank = regex.compile(pattern).findall, ranks.value
         single = _single_bytes(by_rank)
+        # what is known of stretches: packed ids, or (piece, packed ids or None) where some are not known
         memory: dict[str, bytes | tuple] = {}
+        table = known.value
 
-        def look_up(chunk: str) -> bytes | tuple:
-            if len(memory) >= _CACHE:
-                memory.clear()
+        def ids_of(pieces: list[str]) -> bytes | tuple:
             got = []
-            for p in find(chunk):
-                raw = p.encode()
-                ids = table.get(raw)
-                if ids is None and len(raw) > FOLD_BYTES:
-                    ids = _ids_bytes(merge_with_heap(raw, by_rank))
-                got.append((raw, ids))
-            out = b"".join(i for _, i in got) if all(i is not None for _, i in got) else tuple(got)
-            if len(chunk) <= 64:
-                memory[chunk] = out
+            for p in pieces:
+                ids = table.get(_key(p))
+                if ids is None:
+                    raw = p.encode()
+                    ids = _ids_bytes(merge_with_heap(raw, by_rank)) if len(raw) > FOLD_BYTES else None
+                    got.append((raw, ids))
+                else:
+                    got.append((p, ids))
+            try:
+                return b"".join([i for _, i in got])
+            except TypeError:
+                return tuple(got)
+
+        def look_up(chunk: str) -> bytes | tuple:
+            if chunk.isalpha():
+                return ids_of([" " + chunk])
+            out = memory.get(chunk)
+            if out is None:
+                out = ids_of(find(" " + chunk))
+                if len(chunk) <= 64 and len(memory) < _CACHE:
+                    memory[chunk] = out
             return out
 
+        get = table.get
         for b in batches:
             rows: tuple[list, ...] = ([], [], [], [])
             for x in b.column(1):
-                at, packed, places, which, tail = 0, [], [], [], {}
-                for chunk in chunks(x.as_py() or ""):
-                    ids = memory.get(chunk)
-                    if ids is None:
-                        ids = look_up(chunk)
-                    if type(ids) is bytes:
-                        packed.append(ids)
-                        at += len(ids)
-                        continue
-                    for raw, known_ids in ids:
-                        if known_ids is None:
+                parts = chunks(x.as_py() or "")
+                got = list(map(get, parts))
+                got[0] = ids_of(find(parts[0]))
+                got = [look_up(c) if i is None else i for c, i in zip(parts, got, strict=True)]
+                at, done, packed, places, which, tail = 0, 0, [], [], [], {}
+                for k in [k for k, i in enumerate(got) if i.__class__ is tuple]:
+                    before = b"".join(got[done:k])
+                    packed.append(before)
+                    at, done = at + len(before), k + 1
+                    for raw, ids in got[k]:
+                        if ids is None:
                             places.append(at)
                             which.append(tail.setdefault(raw, len(tail)))
                         else:
-                            packed.append(known_ids)
-                            at += len(known_ids)
+                            packed.append(ids)
+                            at += len(ids)
+                packed += got[done:]
                 for column, v in zip(rows, (b"".join(packed), _ids_bytes(places), _ids_bytes(which), [single[np.frombuffer(t, np.uint8)] for t in tail]), strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays(
@@ -246,29 +284,23 @@ def _split_known(pattern: str, known, ranks):
     return run
 
 
-def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = []
-        packed, places, which, tail = (b.column(i).to_pylist() for i in range(1, 5))
-        for p, at, w, t in zip(packed, places, which, tail, strict=True):
-            if at:
-                tails, parts, done = [_ids_bytes(x) for x in t], [], 0
-                for x, k in zip(np.frombuffer(at, "<u4").tolist(), np.frombuffer(w, "<u4").tolist(), strict=True):
-                    parts += (p[done:x], tails[k])
-                    done = x
-                p = b"".join([*parts, p[done:]])
-            out.append(p)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
-
+def _put_together(b: pa.RecordBatch) -> list[bytes]:
+    """Packed ids of each text, from its known ids and its other pieces' ones."""
+    out = []
+    packed, places, which, tail = (b.column(i).to_pylist() for i in range(1, 5))
+    for p, at, w, t in zip(packed, places, which, tail, strict=True):
+        if at:
+            tails, parts, done = [_ids_bytes(x) for x in t], [], 0
+            for x, k in zip(np.frombuffer(at, "<u4").tolist(), np.frombuffer(w, "<u4").tolist(), strict=True):
+                parts += (p[done:x], tails[k])
+                done = x
+            p = b"".join([*parts, p[done:]])
+        out.append(p)
+    return out
 
-def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", doc_id: str = "doc_id", max_pieces: int = MAX_PIECES
-) -> DataFrame:
-    """``doc_id`` and ``ids``: little-endian unsigned 32-bit ids as one binary, for every row.
 
-    Null and empty texts have no ids. Repeated rows are repeated in the result; ids may be null; other columns are
-    not read. ``ranks`` must hold all single bytes, as byte-level vocabularies do.
-    """
+def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, doc_id: str, max_pieces: int) -> DataFrame:
+    """``doc_id``, known ids, places of the other pieces and the ids that the fold gives these."""
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = rank_literal(ranks)
@@ -277,13 +309,28 @@ def encode(
     words = frequent.mapInArrow(_byte_ids(_single_bytes(ranks)), "piece binary, word array<int>")
     found = words.select("piece", F.get(fold_merges(F.array("word"), table), 0).alias("ids")).toArrow()
     pairs = zip(found["piece"].to_pylist(), found["ids"].to_pylist(), strict=True)
-    known = spark.sparkContext.broadcast({piece: _ids_bytes(ids) for piece, ids in pairs})
+    known = spark.sparkContext.broadcast({_key(piece.decode()): _ids_bytes(ids) for piece, ids in pairs})
     by_rank = spark.sparkContext.broadcast(ranks)
     split = texts.mapInArrow(
         _split_known(pattern, known, by_rank), "doc_id long, packed binary, places binary, which binary, tail array<array<int>>"
     )
-    folded = split.withColumn("tail", fold_merges(F.col("tail"), table))
-    return folded.mapInArrow(_put_together, "doc_id long, ids binary")
+    return split.withColumn("tail", fold_merges(F.col("tail"), table))
+
+
+def encode(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", doc_id: str = "doc_id", max_pieces: int = MAX_PIECES
+) -> DataFrame:
+    """``doc_id`` and ``ids``: little-endian unsigned 32-bit ids as one binary, for every row.
+
+    Null and empty texts have no ids. Repeated rows are repeated in the result; ids may be null; other columns are
+    not read. ``ranks`` must hold all single bytes, as byte-level vocabularies do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_put_together(b), pa.binary())], ["doc_id", "ids"])
+
+    return _folded(docs, ranks, pattern, text, doc_id, max_pieces).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode_bytes(ids: bytes, pieces: list[bytes]) -> bytes:
@@ -310,18 +357,29 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
-def digests(encoded: DataFrame, ranks: dict[bytes, int], keep_ids: bool = False) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: the digests of :func:`decode`'s columns, and its ``ids`` if kept."""
-    pieces = encoded.sparkSession.sparkContext.broadcast(piece_table(ranks))
+def encode_and_check(
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    keep_ids: bool = False,
+    max_pieces: int = MAX_PIECES,
+) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``, and ``ids`` if kept: :func:`encode` and :func:`decode` in one pass.
+
+    The digests are those of the packed ids and of the bytes that these decode to.
+    """
+    pieces = docs.sparkSession.sparkContext.broadcast(piece_table(ranks))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [x.as_py() or b"" for x in b.column(1)]
+            ids = _put_together(b)
             sha = [hashlib.sha256(x).hexdigest() for x in ids]
             back = [hashlib.sha256(decode_bytes(x, pieces.value)).hexdigest() for x in ids]
             columns = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
-            columns += [b.column(1)] * keep_ids
+            columns += [pa.array(ids, pa.binary())] * keep_ids
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, schema)
+    return _folded(docs, ranks, pattern, text, doc_id, max_pieces).mapInArrow(run, schema)
