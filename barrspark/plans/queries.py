@@ -165,7 +165,7 @@ def filter_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 'reason__' || reason, count(*) FROM anc GROUP BY ALL UNION ALL SELECT 'removed__' || drop_reason, count(*) FROM dropped GROUP BY ALL)
 SELECT metric, CAST(v AS VARCHAR) AS value FROM s""")
 def filter_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _annotated(spark, sf_dir)
+    a = _annotated(spark, sf_dir).persist()  # the summary reads it once for each of its parts
     return filters.filter_summary(a, *filters.filter_counts(a))
 
 
