@@ -37,6 +37,8 @@ _BUCKETS = 65_521
 _PLACES = 1 << 20
 #: Stretches that a task counts, and that it remembers, at most.
 _COUNTED, _CACHE = 150_000, 50_000
+#: Texts that a Python step holds as objects at a time.
+_AT_ONCE = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -218,6 +220,24 @@ def _ids_bytes(ids: list[int]) -> bytes:
     return np.array(ids, "<u4").tobytes()
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, _AT_ONCE):
+            yield b.slice(at, _AT_ONCE)
+
+
+def _offsets(lengths: list[int]) -> pa.Array:
+    return pa.array(np.cumsum([0, *lengths], dtype=np.int32))
+
+
+def _nested_words(tails: list[list[bytes]], single: np.ndarray) -> pa.Array:
+    """An array of words for each text; words are arrays of the ids of their bytes."""
+    words = [x for t in tails for x in t]
+    ids = pa.array(single[np.frombuffer(b"".join(words), np.uint8)], pa.int32())
+    inner = pa.ListArray.from_arrays(_offsets([len(x) for x in words]), ids)
+    return pa.ListArray.from_arrays(_offsets([len(t) for t in tails]), inner)
+
+
 def _split_known(pattern: str, known, ranks):
     """Each text as packed ids of known pieces, and the distinct other pieces with their places."""
 
@@ -254,7 +274,7 @@ def _split_known(pattern: str, known, ranks):
             return out
 
         get = table.get
-        for b in batches:
+        for b in _slices(batches):
             rows: tuple[list, ...] = ([], [], [], [])
             for x in b.column(1):
                 parts = chunks(x.as_py() or "")
@@ -274,10 +294,10 @@ def _split_known(pattern: str, known, ranks):
                             packed.append(ids)
                             at += len(ids)
                 packed += got[done:]
-                for column, v in zip(rows, (b"".join(packed), _ids_bytes(places), _ids_bytes(which), [single[np.frombuffer(t, np.uint8)] for t in tail]), strict=True):
+                for column, v in zip(rows, (b"".join(packed), _ids_bytes(places), _ids_bytes(which), list(tail)), strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0)] + [pa.array(c, pa.binary()) for c in rows[:3]] + [pa.array(rows[3], pa.list_(pa.list_(pa.int32())))],
+                [b.column(0)] + [pa.array(c, pa.binary()) for c in rows[:3]] + [_nested_words(rows[3], single)],
                 ["doc_id", "packed", "places", "which", "tail"],
             )
 
@@ -287,12 +307,18 @@ def _split_known(pattern: str, known, ranks):
 def _put_together(b: pa.RecordBatch) -> list[bytes]:
     """Packed ids of each text, from its known ids and its other pieces' ones."""
     out = []
-    packed, places, which, tail = (b.column(i).to_pylist() for i in range(1, 5))
-    for p, at, w, t in zip(packed, places, which, tail, strict=True):
+    packed, places, which = (b.column(i).to_pylist() for i in range(1, 4))
+    tails = b.column(4)
+    words = tails.flatten()
+    data = words.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+    first, edge = (np.asarray(x.offsets) - x.offsets[0].as_py() for x in (tails, words))
+    for p, at, w, k in zip(packed, places, which, first[:-1].tolist(), strict=True):
         if at:
-            tails, parts, done = [_ids_bytes(x) for x in t], [], 0
-            for x, k in zip(np.frombuffer(at, "<u4").tolist(), np.frombuffer(w, "<u4").tolist(), strict=True):
-                parts += (p[done:x], tails[k])
+            word = np.frombuffer(w, "<u4").astype(np.int64) + k
+            starts, ends = (edge[word] * 4).tolist(), (edge[word + 1] * 4).tolist()
+            parts, done = [], 0
+            for x, i, j in zip(np.frombuffer(at, "<u4").tolist(), starts, ends, strict=True):
+                parts += (p[done:x], data[i:j])
                 done = x
             p = b"".join([*parts, p[done:]])
         out.append(p)
@@ -327,7 +353,7 @@ def encode(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_put_together(b), pa.binary())], ["doc_id", "ids"])
 
     return _folded(docs, ranks, pattern, text, doc_id, max_pieces).mapInArrow(run, "doc_id long, ids binary")
@@ -374,7 +400,7 @@ def encode_and_check(
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             ids = _put_together(b)
             sha = [hashlib.sha256(x).hexdigest() for x in ids]
             back = [hashlib.sha256(decode_bytes(x, pieces.value)).hexdigest() for x in ids]

@@ -191,6 +191,23 @@ def test_bpe_matches_the_library(spark):
             assert bytes(r.decoded) == text.encode()
 
 
+def test_bpe_over_several_slices(spark):
+    import public_tokenizers as P
+    import tiktoken
+
+    ranks = byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    data = [None] * 300 + [prose(i, i % 7).title() + " xq%dz" % i * (i % 3) for i in range(500)]
+    df = rows(spark, [(i, t, "en", "s") for i, t in enumerate(data)]).coalesce(1)
+    got = byte_bpe.encode_and_check(df, ranks, P.PATTERN, keep_ids=True, max_pieces=20).collect()
+    assert len(got) == len(data)
+    for r in got:
+        text = data[r.doc_id] or ""
+        assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(text)
+        assert r.n_tokens == len(r.ids) // 4 and r.ids_sha256 == hashlib.sha256(r.ids).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_heap_equals_fold_order():
     import public_tokenizers as P
     import tiktoken
