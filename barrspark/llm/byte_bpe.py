@@ -5,9 +5,10 @@ merges over the ids of their bytes, with the ranks in a literal map. Spark searc
 end, so the literal is an array of small maps, chosen by the key's remainder.
 
 The most frequent pieces of the corpus, counted over all of it, are encoded once and broadcast as a
-dictionary whose number and length of pieces are bounded. Every other piece goes through the same
-fold in its document's row, so that no text is shuffled. Only pieces over ``FOLD_BYTES``, for which a fold
-would take quadratic time, are merged with a heap. Decoding concatenates the binary pieces of ids.
+dictionary of flat sorted arrays, whose number and length of pieces are bounded. Every other piece goes through the
+same fold once for each group of documents (``GROUP_CHARS`` of text in one task), so that no text is shuffled. Only
+pieces over ``FOLD_BYTES``, for which a fold would take quadratic time, are merged with a heap. Decoding concatenates
+the binary pieces of ids.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
 import json
 import zlib
 from collections import Counter
@@ -23,22 +25,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barrspark.llm.common import materialize
+from barrspark.llm.common import give_back, materialize
 
 #: Bounds on the broadcast dictionary.
-MAX_PIECES, MAX_PIECE_BYTES = 400_000, 32
+MAX_PIECES, MAX_PIECE_BYTES = 700_000, 32
 #: Pieces above this many bytes are merged with a heap.
 FOLD_BYTES = 256
 #: Buckets of the literal rank map, a prime, so that pairs spread by the remainder.
 _BUCKETS = 65_521
 _PLACES = 1 << 20
-#: Stretches that a task counts, and that it remembers, at most.
-_COUNTED, _CACHE = 150_000, 50_000
-#: Texts that a Python step holds as objects at a time.
-_AT_ONCE = 256
+#: Characters of the documents whose distinct pieces are folded together; a longer document is a group of its own.
+GROUP_CHARS = 4_000_000
+#: Stretches that a task counts at most before it passes the counts on.
+_COUNTED = 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -74,11 +77,6 @@ def _pieces(chunk: str, find) -> list[str]:
     return [" " + chunk] if chunk.isalpha() else find(" " + chunk)
 
 
-def _key(piece: str) -> str:
-    """A piece's key in the dictionary: a stretch that is one piece is its own key."""
-    return piece[1:] if piece[0] == " " else "\0" + piece
-
-
 def rank_literal(ranks: dict[bytes, int]) -> Column:
     """The literal rank map: a pair of token ids, as one number, to the id (and rank) of both joined."""
     maps: list[dict[int, int]] = [{} for _ in range(_BUCKETS)]
@@ -183,6 +181,7 @@ def piece_counts(texts: DataFrame, pattern: str) -> DataFrame:
                 if len(seen) > _COUNTED:
                     yield flush()
         yield flush()
+        give_back()
 
     return texts.mapInArrow(run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
@@ -216,117 +215,135 @@ def _byte_ids(single: np.ndarray):
     return run
 
 
-def _ids_bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+def _offsets(lengths) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)])
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, _AT_ONCE):
-            yield b.slice(at, _AT_ONCE)
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+class Dictionary:
+    """Words and their ids as flat arrays, in the order of the words' hashes; words of equal hash but the first are left out."""
+
+    def __init__(self, words: list[bytes], ids: pa.ListArray):
+        self.keys, first = np.unique(_hashes(words), return_index=True)
+        words, ids = [words[i] for i in first], ids.take(pa.array(first))
+        self.text, self.edges = b"".join(words), _offsets([len(x) for x in words])
+        self.ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        self.id_edges = _offsets(ids.value_lengths().to_numpy(zero_copy_only=False))
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """Each word's place, or -1; equal hashes count only if the bytes are equal."""
+        keys = _hashes(words)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        out = np.full(len(words), -1, np.int64)
+        if not len(self.keys):
+            return out
+        hits = np.flatnonzero(self.keys[at] == keys)
+        starts, ends = self.edges[at[hits]].tolist(), self.edges[at[hits] + 1].tolist()
+        same = np.fromiter((self.text[i:j] == words[k] for i, j, k in zip(starts, ends, hits.tolist(), strict=True)), bool, len(hits))
+        out[hits[same]] = at[hits[same]]
+        return out
+
+
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of all elements of stretches of an array, one after the other."""
+    return np.repeat(starts - _offsets(lengths)[:-1], lengths) + np.arange(int(lengths.sum()))
+
 
+class _Numbers(dict):
+    """The packed numbers of the pieces of a stretch, which are given as they come."""
 
-def _offsets(lengths: list[int]) -> pa.Array:
-    return pa.array(np.cumsum([0, *lengths], dtype=np.int32))
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.pieces = find, {}
 
+    def of(self, pieces: list[str]) -> bytes:
+        known = self.pieces
+        return b"".join([known.setdefault(p, len(known)).to_bytes(4, "little") for p in pieces])
 
-def _nested_words(tails: list[list[bytes]], single: np.ndarray) -> pa.Array:
-    """An array of words for each text; words are arrays of the ids of their bytes."""
-    words = [x for t in tails for x in t]
-    ids = pa.array(single[np.frombuffer(b"".join(words), np.uint8)], pa.int32())
-    inner = pa.ListArray.from_arrays(_offsets([len(x) for x in words]), ids)
-    return pa.ListArray.from_arrays(_offsets([len(t) for t in tails]), inner)
+    def __missing__(self, chunk: str) -> bytes:
+        out = self[chunk] = self.of(_pieces(chunk, self.find))
+        return out
 
 
-def _split_known(pattern: str, known, ranks):
-    """Each text as packed ids of known pieces, and the distinct other pieces with their places."""
+#: A group of documents: ids, numbers of their pieces, place of each number among first the given, then the folded words,
+#: lengths and ids of the given words, words to fold.
+_GROUP = "docs array<bigint>, numbers array<binary>, slots binary, sizes binary, given binary, words array<array<int>>"
+
+
+def _group(pattern: str, known, ranks, chars: int):
+    """Groups of documents with the ids of their known pieces and the distinct other pieces as arrays of byte ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, by_rank = regex.compile(pattern).findall, ranks.value
-        single = _single_bytes(by_rank)
-        # what is known of stretches: packed ids, or (piece, packed ids or None) where some are not known
-        memory: dict[str, bytes | tuple] = {}
-        table = known.value
-
-        def ids_of(pieces: list[str]) -> bytes | tuple:
-            got = []
-            for p in pieces:
-                ids = table.get(_key(p))
-                if ids is None:
-                    raw = p.encode()
-                    ids = _ids_bytes(merge_with_heap(raw, by_rank)) if len(raw) > FOLD_BYTES else None
-                    got.append((raw, ids))
-                else:
-                    got.append((p, ids))
-            try:
-                return b"".join([i for _, i in got])
-            except TypeError:
-                return tuple(got)
-
-        def look_up(chunk: str) -> bytes | tuple:
-            if chunk.isalpha():
-                return ids_of([" " + chunk])
-            out = memory.get(chunk)
-            if out is None:
-                out = ids_of(find(" " + chunk))
-                if len(chunk) <= 64 and len(memory) < _CACHE:
-                    memory[chunk] = out
-            return out
-
-        get = table.get
-        for b in _slices(batches):
-            rows: tuple[list, ...] = ([], [], [], [])
-            for x in b.column(1):
-                parts = chunks(x.as_py() or "")
-                got = list(map(get, parts))
-                got[0] = ids_of(find(parts[0]))
-                got = [look_up(c) if i is None else i for c, i in zip(parts, got, strict=True)]
-                at, done, packed, places, which, tail = 0, 0, [], [], [], {}
-                for k in [k for k, i in enumerate(got) if i.__class__ is tuple]:
-                    before = b"".join(got[done:k])
-                    packed.append(before)
-                    at, done = at + len(before), k + 1
-                    for raw, ids in got[k]:
-                        if ids is None:
-                            places.append(at)
-                            which.append(tail.setdefault(raw, len(tail)))
-                        else:
-                            packed.append(ids)
-                            at += len(ids)
-                packed += got[done:]
-                for column, v in zip(rows, (b"".join(packed), _ids_bytes(places), _ids_bytes(which), list(tail)), strict=True):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0)] + [pa.array(c, pa.binary()) for c in rows[:3]] + [_nested_words(rows[3], single)],
-                ["doc_id", "packed", "places", "which", "tail"],
-            )
+        single, table = _single_bytes(by_rank), known.value
+
+        def flush(docs: list, numbers: list[bytes], pieces: list[str]) -> pa.RecordBatch:
+            words = [p.encode() for p in pieces]
+            at = table.find(words)
+            hits, long = np.flatnonzero(at >= 0), [i for i, w in enumerate(words) if len(w) > FOLD_BYTES]
+            merged = [np.array(merge_with_heap(words[i], by_rank), np.int32) for i in long]
+            sizes = table.id_edges[at[hits] + 1] - table.id_edges[at[hits]]
+            given = np.concatenate([table.ids[_ragged(table.id_edges[at[hits]], sizes)], *merged])
+            sizes = np.concatenate([sizes, [len(m) for m in merged]])
+            rest = np.ones(len(words), bool)
+            rest[hits] = rest[long] = False
+            rest = np.flatnonzero(rest)
+            slots = np.empty(len(words), np.uint32)
+            slots[np.concatenate([hits, np.array(long, np.int64), rest])] = np.arange(len(words))
+            others = [words[i] for i in rest.tolist()]
+            letters = pa.array(single[np.frombuffer(b"".join(others), np.uint8)], pa.int32())
+            inner = pa.ListArray.from_arrays(pa.array(_offsets([len(x) for x in others]), pa.int32()), letters)
+            columns = [
+                pa.array([docs], pa.list_(pa.int64())),
+                pa.array([numbers], pa.list_(pa.binary())),
+                *(pa.array([x.tobytes()], pa.binary()) for x in (slots, sizes.astype(np.uint32), given.astype(np.int32))),
+                pa.ListArray.from_arrays(pa.array([0, len(others)], pa.int32()), inner),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["docs", "numbers", "slots", "sizes", "given", "words"])
+
+        docs, numbers, size, seen = [], [], 0, _Numbers(find)
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = x.as_py() or ""
+                parts = chunks(text)
+                docs.append(i)
+                numbers.append(seen.of(find(parts[0])) + b"".join(map(seen.__getitem__, parts[1:])))
+                size += len(text)
+                if size >= chars:
+                    yield flush(docs, numbers, list(seen.pieces))
+                    docs, numbers, size, seen = [], [], 0, _Numbers(find)
+                    give_back()
+        if docs:
+            yield flush(docs, numbers, list(seen.pieces))
+        del docs, numbers, seen
+        give_back()
 
     return run
 
 
-def _put_together(b: pa.RecordBatch) -> list[bytes]:
-    """Packed ids of each text, from its known ids and its other pieces' ones."""
-    out = []
-    packed, places, which = (b.column(i).to_pylist() for i in range(1, 4))
-    tails = b.column(4)
-    words = tails.flatten()
-    data = words.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-    first, edge = (np.asarray(x.offsets) - x.offsets[0].as_py() for x in (tails, words))
-    for p, at, w, k in zip(packed, places, which, first[:-1].tolist(), strict=True):
-        if at:
-            word = np.frombuffer(w, "<u4").astype(np.int64) + k
-            starts, ends = (edge[word] * 4).tolist(), (edge[word + 1] * 4).tolist()
-            parts, done = [], 0
-            for x, i, j in zip(np.frombuffer(at, "<u4").tolist(), starts, ends, strict=True):
-                parts += (p[done:x], data[i:j])
-                done = x
-            p = b"".join([*parts, p[done:]])
-        out.append(p)
-    return out
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
+    """Each document and the ids of its text, from a group's given and folded words."""
+    for b in batches:
+        for k in range(b.num_rows):
+            slots, sizes, given = (np.frombuffer(b.column(i)[k].as_py(), "<u4") for i in (2, 3, 4))
+            words = b.column(5)[k].values
+            lengths = np.concatenate([sizes.astype(np.int64), words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)])
+            ids = np.concatenate([given, words.flatten().to_numpy(zero_copy_only=False).astype("<u4")])
+            starts = _offsets(lengths)[:-1]
+            lengths, starts = lengths[slots], starts[slots]
+            for doc, numbers in zip(b.column(0)[k].as_py(), b.column(1)[k].values, strict=True):
+                at = np.frombuffer(numbers.as_py(), "<u4")
+                yield doc, ids[_ragged(starts[at], lengths[at])]
+        del b
+        give_back()
 
 
 def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, doc_id: str, max_pieces: int) -> DataFrame:
-    """``doc_id``, known ids, places of the other pieces and the ids that the fold gives these."""
+    """Groups of documents, with the ids that the fold gives their other pieces."""
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = rank_literal(ranks)
@@ -334,13 +351,14 @@ def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, d
     frequent = _frequent(counts, max_pieces).select("piece").repartition(max(1, spark.sparkContext.defaultParallelism))
     words = frequent.mapInArrow(_byte_ids(_single_bytes(ranks)), "piece binary, word array<int>")
     found = words.select("piece", F.get(fold_merges(F.array("word"), table), 0).alias("ids")).toArrow()
-    pairs = zip(found["piece"].to_pylist(), found["ids"].to_pylist(), strict=True)
-    known = spark.sparkContext.broadcast({_key(piece.decode()): _ids_bytes(ids) for piece, ids in pairs})
+    known = spark.sparkContext.broadcast(Dictionary(found["piece"].to_pylist(), found["ids"].combine_chunks()))
     by_rank = spark.sparkContext.broadcast(ranks)
-    split = texts.mapInArrow(
-        _split_known(pattern, known, by_rank), "doc_id long, packed binary, places binary, which binary, tail array<array<int>>"
-    )
-    return split.withColumn("tail", fold_merges(F.col("tail"), table))
+    return texts.mapInArrow(_group(pattern, known, by_rank, GROUP_CHARS), _GROUP).withColumn("words", fold_merges(F.col("words"), table))
+
+
+def _some(items: Iterator, most: int = 256) -> Iterator[list]:
+    while some := list(itertools.islice(items, most)):
+        yield some
 
 
 def encode(
@@ -353,15 +371,16 @@ def encode(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_put_together(b), pa.binary())], ["doc_id", "ids"])
+        for rows in _some(_put_together(batches)):
+            columns = [pa.array([i for i, _ in rows], pa.int64()), pa.array([x.tobytes() for _, x in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids"])
 
     return _folded(docs, ranks, pattern, text, doc_id, max_pieces).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode_bytes(ids: bytes, pieces: list[bytes]) -> bytes:
     """The bytes of packed ids: their pieces, concatenated."""
-    return b"".join([pieces[i] for i in np.frombuffer(ids, "<u4").tolist()])
+    return b"".join(map(pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def piece_table(ranks: dict[bytes, int]) -> list[bytes]:
@@ -400,11 +419,11 @@ def encode_and_check(
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            ids = _put_together(b)
+        for rows in _some(_put_together(batches)):
+            ids = [x.tobytes() for _, x in rows]
             sha = [hashlib.sha256(x).hexdigest() for x in ids]
             back = [hashlib.sha256(decode_bytes(x, pieces.value)).hexdigest() for x in ids]
-            columns = [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+            columns = [pa.array([i for i, _ in rows], pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
             columns += [pa.array(ids, pa.binary())] * keep_ids
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 

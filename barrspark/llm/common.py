@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +76,11 @@ def word_chunks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         end = found.start() if found else len(text)
         yield text[at:end].lower().split()
         at = end
+
+
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system, as workers outlive their stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -191,13 +191,14 @@ def test_bpe_matches_the_library(spark):
             assert bytes(r.decoded) == text.encode()
 
 
-def test_bpe_over_several_slices(spark):
+def test_bpe_over_several_groups(spark, monkeypatch):
     import public_tokenizers as P
     import tiktoken
 
     ranks = byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     data = [None] * 300 + [prose(i, i % 7).title() + " xq%dz" % i * (i % 3) for i in range(500)]
+    monkeypatch.setattr(byte_bpe, "GROUP_CHARS", 2000)
     df = rows(spark, [(i, t, "en", "s") for i, t in enumerate(data)]).coalesce(1)
     got = byte_bpe.encode_and_check(df, ranks, P.PATTERN, keep_ids=True, max_pieces=20).collect()
     assert len(got) == len(data)
@@ -208,6 +209,16 @@ def test_bpe_over_several_slices(spark):
         assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_bpe_dictionary_tells_equal_hashes_apart(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(byte_bpe, "_hashes", lambda words: np.array([len(w) for w in words], np.uint64))
+    table = byte_bpe.Dictionary([b"ab", b"cd", b"xyz"], pa.array([[1], [2], [3, 4]]))
+    assert table.find([b"ab", b"cd", b"xyz", b"q"]).tolist() == [0, -1, 1, -1]
+    assert table.ids.tolist() == [1, 3, 4]
+    assert byte_bpe.Dictionary([], pa.array([], pa.list_(pa.int32()))).find([b"a"]).tolist() == [-1]
+
+
 def test_heap_equals_fold_order():
     import public_tokenizers as P
     import tiktoken
