@@ -39,7 +39,10 @@ FOLD_BYTES = 256
 _BUCKETS = 65_521
 _PLACES = 1 << 20
 #: Characters of the documents whose distinct pieces are folded together; a longer document is a group of its own.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 6_000_000
+#: Before the key of a text's first stretch. A later one with the same start is counted as a first one, which only
+#: shifts a count and no result.
+_FIRST = "\0\0"
 #: Stretches that a task counts at most before it passes the counts on.
 _COUNTED = 100_000
 
@@ -153,37 +156,41 @@ def merge_with_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def piece_counts(texts: DataFrame, pattern: str) -> DataFrame:
-    """``piece`` (binary) and ``n`` over the whole column ``text``."""
+    """``piece`` (binary) and ``n`` over the whole column ``text``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        seen: Counter[str | None] = Counter()
-        pieces: Counter[str] = Counter()
+    Stretches are counted first, so that each is cut into pieces once; a key tells a text's first stretch, which follows no space.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            seen.pop(None, None)
-            for chunk, n in seen.items():
-                for p in _pieces(chunk, find):
-                    pieces[p] += n
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([p.encode() for p in pieces], pa.binary()), pa.array(list(pieces.values()), pa.int64())], ["piece", "n"]
-            )
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["stretch", "n"])
             seen.clear()
-            pieces.clear()
             return out
 
         for b in batches:
             for x in b.column(0):
                 parts = chunks(x.as_py() or "")
-                pieces.update(find(parts[0]))
-                parts[0] = None
+                parts[0] = _FIRST + parts[0]
                 seen.update(parts)
                 if len(seen) > _COUNTED:
                     yield flush()
         yield flush()
         give_back()
 
-    return texts.mapInArrow(run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = regex.compile(pattern).findall
+        for b in batches:
+            pieces: Counter[str] = Counter()
+            for chunk, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for p in find(chunk[len(_FIRST) :]) if chunk.startswith(_FIRST) else _pieces(chunk, find):
+                    pieces[p] += n
+            columns = [pa.array([p.encode() for p in pieces], pa.binary()), pa.array(list(pieces.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["piece", "n"])
+
+    stretches = texts.mapInArrow(count, "stretch string, n long").groupBy("stretch").agg(F.sum("n").alias("n"))
+    return stretches.mapInArrow(cut, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def _frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -265,7 +272,12 @@ class _Numbers(dict):
         return b"".join([known.setdefault(p, len(known)).to_bytes(4, "little") for p in pieces])
 
     def __missing__(self, chunk: str) -> bytes:
-        out = self[chunk] = self.of(_pieces(chunk, self.find))
+        if chunk.isalpha():
+            known = self.pieces
+            out = known.setdefault(" " + chunk, len(known)).to_bytes(4, "little")
+        else:
+            out = self.of(_pieces(chunk, self.find))
+        self[chunk] = out
         return out
 
 
