@@ -364,6 +364,8 @@ def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, d
     words = frequent.mapInArrow(_byte_ids(_single_bytes(ranks)), "piece binary, word array<int>")
     found = words.select("piece", F.get(fold_merges(F.array("word"), table), 0).alias("ids")).toArrow()
     known = spark.sparkContext.broadcast(Dictionary(found["piece"].to_pylist(), found["ids"].combine_chunks()))
+    del found
+    give_back()
     by_rank = spark.sparkContext.broadcast(ranks)
     return texts.mapInArrow(_group(pattern, known, by_rank, GROUP_CHARS), _GROUP).withColumn("words", fold_merges(F.col("words"), table))
 

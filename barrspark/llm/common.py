@@ -79,7 +79,7 @@ def word_chunks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
 
 
 def give_back() -> None:
-    """Return freed memory of a Python worker to the system, as workers outlive their stage."""
+    """Return freed memory of this Python process to the system, as workers outlive their stage."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
