@@ -7,7 +7,9 @@ observed, the others get their label from loopy message passing over the documen
 belief in a kind is high is one more span, so that an entity found once is found in all of its places.
 
 The potentials are trained by pieces (each kind of factor by its own likelihood, which counts solve) on all documents.
-Repeats of one key are linked each to the next, so that edges grow with the tokens.
+Consecutive repeats of one key train the skip factor. In a document, a repeat that is not observed is linked to
+the nearest observed ones of its key on both sides, so that it is one link away however many repeats lie between; where no
+repeat of a key is observed, all are linked to one hub of the key. Edges grow with the tokens either way.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 #: Belief from which a token is a span.
 BELIEF = 0.9
+#: Bound on the message steps for each link of a graph's longest path; they stop as soon as messages stand still.
 STEPS = 12
 _LABELS = len(KINDS) + 1  # the last is none
 _SHAPES = 512
@@ -143,16 +146,35 @@ class Graph:
         ends = [s[1] for s in self.spans]
         # neighbours with at most two characters between them
         self.chain = [(i - 1, i) for i in range(1, len(order)) if starts[i] - ends[i - 1] <= 3]
-        last: dict[str, int] = {}
-        skip = []
+        places: dict[str, list[int]] = {}
         for i, w in enumerate(self.words):
-            for key in _keys(w):
-                if key in last and last[key] != i:
-                    skip.append((last[key], i))
-                last[key] = i
-        self.skip = sorted(set(skip) - set(self.chain))
+            for key in dict.fromkeys(_keys(w)):
+                places.setdefault(key, []).append(i)
+        repeats, skip, self.hubs = set(), set(), []
+        for at in places.values():
+            repeats.update(zip(at, at[1:]))
+            if len(at) > 1:
+                self._link(at, skip)
+        self.repeats = sorted(repeats - set(self.chain))
+        self.skip = sorted(skip)
         self.shapes = np.array([_shape(w) for w in self.words], np.int64)
 
+    def _link(self, at: list[int], skip: set[tuple[int, int]]) -> None:
+        """Links of one key's tokens: to observed ones, else of two to each other, of more to a hub (``hubs``)."""
+        known = [i for i in at if self.seen[i] >= 0]
+        if not known:
+            if len(at) == 2:
+                skip.add((at[0], at[1]))
+            elif at not in self.hubs[-1:]:  # a token's keys often have the same places
+                self.hubs.append(at)
+            return
+        before = 0
+        for i in at:
+            while before < len(known) and known[before] <= i:
+                before += 1
+            if self.seen[i] < 0:
+                skip.update((min(i, j), max(i, j)) for j in known[max(before - 1, 0) : before + 1])
+
 
 _UNARY, _CHAIN, _SKIP = 0, 1, 2
 
@@ -171,7 +193,7 @@ def factor_counts(docs: DataFrame, text: str) -> DataFrame:
                 label = np.where(g.seen < 0, _LABELS - 1, g.seen).tolist()
                 seen.update((_UNARY, s, y) for s, y in zip(g.shapes.tolist(), label, strict=True))
                 seen.update((_CHAIN, label[i], label[j]) for i, j in g.chain)
-                seen.update((_SKIP, *sorted((label[i], label[j]))) for i, j in g.skip)
+                seen.update((_SKIP, *sorted((label[i], label[j]))) for i, j in g.repeats)
         rows = [(*k, n) for k, n in seen.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] * 3 + [pa.int64()], strict=True)], ["kind", "a", "b", "n"])
@@ -198,6 +220,8 @@ class Potentials:
         joint /= joint.sum((1, 2), keepdims=True)
         logs = np.log(joint) - np.log(joint.sum(2))[:, :, None] - np.log(joint.sum(1))[:, None, :]
         self.chain, self.skip = logs
+        #: A hub's own labels: two skip links over a hub are then again a step between repeats.
+        self.hub = np.log(joint[1].sum(1))
 
 
 def train(docs: DataFrame, text: str = "text") -> Potentials:
@@ -205,22 +229,52 @@ def train(docs: DataFrame, text: str = "text") -> Potentials:
     return Potentials([tuple(r) for r in factor_counts(docs, text).collect()])
 
 
+def _longest_path(n: int, edges: list[tuple[int, int]]) -> int:
+    """A bound on the links between any two connected nodes: twice the depth from one node of each component."""
+    near: list[list[int]] = [[] for _ in range(n)]
+    for i, j in edges:
+        near[i].append(j)
+        near[j].append(i)
+    seen, most = [False] * n, 0
+    for first in range(n):
+        if seen[first]:
+            continue
+        seen[first], level, depth = True, [first], 0
+        while level:
+            after = []
+            for i in level:
+                for j in near[i]:
+                    if not seen[j]:
+                        seen[j] = True
+                        after.append(j)
+            level, depth = after, depth + bool(after)
+        most = max(most, 2 * depth)
+    return most
+
+
 def beliefs(g: Graph, p: Potentials) -> np.ndarray:
-    """Label probabilities of all nodes, by loopy sum-product message passing with damping."""
+    """Label probabilities of all nodes, by loopy sum-product message passing with damping.
+
+    Messages pass until they stand still. The bound on the steps, for loops that never do, grows with the longest path.
+    """
     n = len(g.words)
-    unary = p.unary[g.shapes].copy()
+    unary = np.concatenate([p.unary[g.shapes], np.tile(p.hub, (len(g.hubs), 1))])
     known = np.flatnonzero(g.seen >= 0)
     unary[known] = -50.0
     unary[known, g.seen[known]] = 0.0
-    edges = [(i, j, p.chain) for i, j in g.chain] + [(i, j, p.skip) for i, j in g.skip]
-    if edges:
-        src = np.array([i for i, _, _ in edges] + [j for _, j, _ in edges])
-        dst = np.array([j for _, j, _ in edges] + [i for i, _, _ in edges])
-        table = np.stack([t for _, _, t in edges] + [t.T for _, _, t in edges])
+    tables = dict.fromkeys(g.chain, p.chain)
+    for e in g.skip + [(i, n + h) for h, at in enumerate(g.hubs) for i in at]:
+        tables[e] = tables[e] + p.skip if e in tables else p.skip
+    if tables:
+        edges = list(tables)
+        src = np.array([i for i, _ in edges] + [j for _, j in edges])
+        dst = np.array([j for _, j in edges] + [i for i, _ in edges])
+        table = np.stack([*tables.values(), *[t.T for t in tables.values()]])
         m, half = np.zeros((len(src), _LABELS)), len(edges)
         back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
-        for _ in range(STEPS):
-            into = np.zeros((n, _LABELS))
+        done, step, bound = False, 0, 2 * STEPS
+        while not done and step < bound:
+            into = np.zeros((len(unary), _LABELS))
             np.add.at(into, dst, m)
             s = (unary + into)[src] - m[back]
             new = s[:, :, None] + table
@@ -229,10 +283,11 @@ def beliefs(g: Graph, p: Potentials) -> np.ndarray:
             new -= new.max(1, keepdims=True)
             done = np.abs(new - m).max() < 1e-4
             m = 0.5 * m + 0.5 * new
-            if done:
-                break
+            step += 1
+            if step == 2 * STEPS and not done:
+                bound = STEPS * (1 + _longest_path(len(unary), edges))
         np.add.at(unary, dst, m)
-    out = np.exp(unary - unary.max(1, keepdims=True))
+    out = np.exp(unary - unary.max(1, keepdims=True))[:n]
     return out / out.sum(1, keepdims=True)
 
 

@@ -301,6 +301,35 @@ def test_loopy_messages_equal_enumeration():
         skip_chain_crf.STEPS = old
 
 
+def test_crf_reaches_every_repeat():
+    """However many repeats lie between, each has the belief of a lone repeat of the observed span; so have both ends of a hub."""
+    p = skip_chain_crf.Potentials([(0, s, 4, 2) for s in range(512)] + [(0, s, 3, 1) for s in range(512)] + [(2, 3, 3, 90), (2, 3, 4, 5), (2, 4, 4, 900)])
+    found = lambda n: skip_chain_crf.find_spans("+1 (988) 555-2485 is it" + ", or ever so often 9885552485" * n, p)
+    assert len(found(1)[1]) == 1
+    for n in (5, 40, 400):
+        assert len(found(n)[1]) == n
+    text = "mail x " + " then 12345678z " * 30
+    g = skip_chain_crf.Graph(text, [])
+    assert not g.skip and [len(at) for at in g.hubs] == [30]
+    even = skip_chain_crf.beliefs(g, p)
+    g.shapes = g.shapes.copy()
+    p.unary[511, :] = np.log([0.001, 0.001, 0.001, 0.996, 0.001])
+    g.shapes[0] = 511
+    told = skip_chain_crf.beliefs(g, p)
+    assert (told[1:, 3] > even[1:, 3]).all() and np.ptp(told[1:, 3]) < 1e-3
+
+
+def test_crf_messages_stand_still_on_long_chains():
+    """A chain that hardly fades needs more steps than a fixed few: its last node equals the exact product of tables."""
+    n = 120
+    g = skip_chain_crf.Graph("+1 (988) 555-2485" + " 7" * n, [(3, 0, 17)])
+    p = skip_chain_crf.Potentials([])
+    p.unary[:] = 0.0
+    p.chain = np.log(np.eye(5) * 0.99 + 0.002)
+    want = np.linalg.matrix_power(np.exp(p.chain), n)[3]
+    np.testing.assert_allclose(skip_chain_crf.beliefs(g, p)[-1], want / want.sum(), atol=1e-3)
+
+
 def test_log_bilinear_counts_and_normalisation(spark, monkeypatch):
     monkeypatch.setattr(log_bilinear, "OWN", 12)
     monkeypatch.setattr(log_bilinear, "MAX_WORDS", 25)
