@@ -150,6 +150,23 @@ def test_reply_order(spark):
     assert sorted(map(str, want)) == sorted(str(tuple(r[c] for c in order)) for r in got)
 
 
+def test_parts_of_quotes_are_linked(spark):
+    data = [
+        (1, 0, "One is here.\n\nTwo has\ntwo lines.\n\nThree is last."),
+        (1, 1, "Line a\nline b\nline c\nline d"),
+        (1, 2, "> One is here.\n>\n> Two has two lines.\n\ntwo of three"),
+        (1, 3, "> line b\n> line c\ntwo of four lines"),
+        (1, 4, "> One is here.\n>\n> line c\n> never said this\nparagraph and line"),
+        (1, 5, "> unknown\n>\n> not said\n> nor this\nnothing"),
+        (2, 0, "> Two has\n> two lines.\n>\n> Three is last.\nfrom elsewhere"),
+        (2, 1, "> line b\n> two of three\ntwo originals elsewhere"),
+    ]
+    df = spark.createDataFrame([(c, t, "user", x) for c, t, x in data], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_passages, r.n_linked, r.reply_to, r.root_turn) for r in quote_linking.conversations(df).collect()}
+    assert got[1, 2] == (1, 1, 0, 0) and got[1, 3] == (1, 1, 1, 1) and got[1, 4] == (1, 1, 1, 1) and got[1, 5] == (1, 0, None, 5)
+    assert got[2, 0] == (1, 1, None, 0) and got[2, 1] == (1, 1, None, 1)
+
+
 def brute_pipeline(docs):
     """The deterministic stages: exact and near duplicates over the identified documents."""
     import re
