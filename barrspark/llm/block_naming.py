@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barrspark.llm.common import discard, materialize
+from barrspark.llm.common import discard, materialize, numbered_rows
 
 BLOCK_BYTES = 4096
 _SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
@@ -137,6 +137,18 @@ def exact_duplicates(
 
 
 def drop_exact_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns."""
-    gone = exact_duplicates(docs, text, doc_id).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of each group of equal texts, with all its columns.
+
+    It is a row with the most code points and, of these, the smallest id, as in :func:`exact_duplicates`; of rows
+    that share both, and of rows without an id, one stays. Rows are told apart by number, so that a row
+    goes only for its own text.
+    """
+    docs = numbered_rows(docs, "exactrows")
+    carry = {"row": F.col("__row"), "id": F.col(doc_id).cast("long"), "chars": F.length(F.coalesce(F.col(text), F.lit("")))}
+    named = materialize(name_texts(docs, text, carry), "named")
+    best = F.min(F.struct(-F.col("chars"), F.col("id").isNull(), F.col("id"), F.col("row"))).alias("best")
+    copied = named.groupBy("n_blocks", "name").agg(best, F.count("*").alias("n")).where("n > 1")
+    gone = named.join(copied, ["n_blocks", "name"]).where("row <> best.row").select(F.col("row").alias("__row"))
+    gone = materialize(gone, "gone")
+    discard(named)
+    return docs.join(gone, "__row", "left_anti").drop("__row")

@@ -51,6 +51,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def numbered_rows(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a row number ``__row`` that stays the same however often it is read, as it is written once."""
+    return materialize(df.withColumn("__row", F.monotonically_increasing_id()), name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`materialize` wrote and nothing will read again."""
     path = getattr(df, "_barrspark_path", None)

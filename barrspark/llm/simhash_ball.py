@@ -22,10 +22,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barrspark.llm.common import materialize, word_chunks
+from barrspark.llm.common import materialize, numbered_rows, word_chunks
 from barrspark.llm.components import connected_components
 
 RADIUS = 3
@@ -67,18 +67,19 @@ def simhash(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.bitwise_or.reduce(_ONE[2 * ones > n], initial=np.uint64(0))) if n else 0
 
 
-def fingerprints(docs: DataFrame, text: str, doc_id: str, width: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``doc_id, fp`` (a signed long) of every row."""
+def fingerprints(docs: DataFrame, text: str, doc_id: str, width: int = SHINGLE, seed: int = SEED, row: str | None = None) -> DataFrame:
+    """``doc_id, fp`` (a signed long) of every row; with ``row``, a column of row numbers, also ``row``."""
+    more = [F.col(row).alias("row")] if row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = np.empty(b.num_rows, np.uint64)
             for i, x in enumerate(b.column(1)):
                 out[i] = simhash(x.as_py(), width, seed)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", "row"][: b.num_columns])
 
-    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return read.mapInArrow(run, "doc_id long, fp long")
+    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), *more)
+    return read.mapInArrow(run, "doc_id long, fp long" + ", row long" * len(more))
 
 
 def _deal(n_buckets: int, step: int = 1024):
@@ -140,6 +141,16 @@ def near_edges(distinct: DataFrame, bucket_variants: int = BUCKET_VARIANTS) -> D
     return dealt.groupBy("bucket").applyInArrow(_meet, "u long, v long")
 
 
+def _least_of_components(marked: DataFrame, least: Column, bucket_variants: int) -> DataFrame:
+    """``fp, first, n``: for each fingerprint the least of its component by the aggregate ``least``, and the component's rows."""
+    distinct = materialize(marked.groupBy("fp").agg(least.alias("least"), F.count("*").alias("m")), "distinctfps")
+    linked = connected_components(near_edges(distinct, bucket_variants))
+    labelled = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
+    labelled = materialize(labelled.withColumn("component", F.coalesce("component", "fp")), "labelledfps")
+    firsts = labelled.groupBy("component").agg(F.min("least").alias("first"), F.sum("m").alias("n"))
+    return materialize(labelled.join(firsts, "component").select("fp", "first", "n"), "fpcomponents")
+
+
 def simhash_components(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bucket_variants: int = BUCKET_VARIANTS
 ) -> DataFrame:
@@ -152,20 +163,20 @@ def simhash_components(
     the result; other columns are not read; an empty table gives an empty table.
     """
     marked = materialize(fingerprints(docs, text, doc_id), "fingerprints")
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinctfps")
-    linked = connected_components(near_edges(distinct, bucket_variants))
-    labelled = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
-    labelled = materialize(labelled.withColumn("component", F.coalesce("component", "fp")), "labelledfps")
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = materialize(labelled.join(least, "component").select("fp", "component_id"), "fpcomponents")
+    by_fp = _least_of_components(marked, F.min("doc_id"), bucket_variants)
     return marked.join(by_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first").alias("component_id")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows whose id is their component's smallest, with all their columns."""
-    found = simhash_components(docs, text, doc_id)
-    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
-    gone = gone.select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of each component, with all its columns: one with the smallest id, a null id last.
+
+    Rows are told apart by number, so that a row goes only for its own text; of rows that share an id one stays.
+    """
+    docs = numbered_rows(docs, "nearrows")
+    marked = materialize(fingerprints(docs, text, doc_id, row="__row"), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
+    by_fp = _least_of_components(marked, least, BUCKET_VARIANTS).where("n > 1")
+    gone = marked.join(by_fp, "fp").where("row <> first.row").select(F.col("row").alias("__row"))
+    return docs.join(materialize(gone, "gone"), "__row", "left_anti").drop("__row")

@@ -124,6 +124,21 @@ def test_near_copies_keep_one(spark, texts):
     assert {r.component_id for r in got} == {111} and {r.fingerprint for r in got} == {"0" * 16}
 
 
+@pytest.mark.parametrize("drop", [block_naming.drop_exact_duplicates, simhash_ball.drop_near_duplicates])
+def test_copies_are_dropped_by_row(spark, drop):
+    a, b, c, d, e = (prose(700 + k, 60) for k in range(5))
+    data = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, d), (1, d), (7, e), (1, e), (5, a), (5, b + " x"), (8, None), (8, "")]
+    data = [(i, t, "en", "s") for i, t in data] + [(9, prose(711, 60), "en", "s")] * 3
+    want = [(1, a), (None, c), (1, d), (1, e), (8, ""), (9, prose(711, 60))]
+    got = [(r.doc_id, r.text or "") for r in drop(rows(spark, data)).collect()]
+    if drop is block_naming.drop_exact_duplicates:
+        want += [(None, b), (5, b + " x")]
+    else:  # the fingerprints of b and b with a word more may be near
+        near = (plain_simhash(b) ^ plain_simhash(b + " x")).bit_count() <= 3
+        want += [(5, b + " x")] if near else [(None, b), (5, b + " x")]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_language_identification(spark):
     langs = {"xx": "abcde", "yy": "vwxyz", "zz": "klmno"}
     rng = np.random.default_rng(1)
