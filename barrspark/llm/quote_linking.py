@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barrspark.llm.common import discard, materialize
@@ -149,9 +149,12 @@ def link_quotes(parsed: DataFrame) -> DataFrame:
     said = said.join(wanted, "passage", "left_semi").groupBy("passage", "conv_id").agg(F.min("turn").alias("t"))
     said = materialize(said, "said")
     here = quoted.join(said, ["passage", "conv_id"], "left").withColumn("own", F.when(F.col("t") < F.col("turn"), F.col("t")))
-    first = materialize(said.groupBy("passage").agg(F.min(F.struct("conv_id", "t")).alias("first")), "firstsaid")
-    both = here.join(first, "passage", "left")
-    elsewhere = F.when(~F.col("first.conv_id").eqNullSafe(F.col("conv_id")), F.col("first"))
+    # the two smallest conversations: one of them is not the quoting one
+    ranked = said.withColumn("r", F.row_number().over(Window.partitionBy("passage").orderBy("conv_id"))).where("r <= 2")
+    at = F.struct("conv_id", "t")
+    two = materialize(ranked.groupBy("passage").agg(F.min(at).alias("first"), F.max(at).alias("second")), "firstsaid")
+    both = here.join(two, "passage", "left")
+    elsewhere = F.coalesce(*[F.when(~F.col(f"{c}.conv_id").eqNullSafe(F.col("conv_id")), F.col(c)) for c in ("first", "second")])
     found = both.select("mid", "k", "p", "l", "own", F.when(F.col("own").isNull(), elsewhere).alias("there"))
     linked = _joined_parts(_joined_parts(found, ["mid", "k", "p"], "l = -1"), ["mid", "k"], "p = -1")
     passages = parsed.select("mid", "conv_id", F.posexplode(F.arrays_zip("levels", "passages")).alias("k", "q"))

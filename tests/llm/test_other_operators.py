@@ -167,6 +167,17 @@ def test_parts_of_quotes_are_linked(spark):
     assert got[2, 0] == (1, 1, None, 0) and got[2, 1] == (1, 1, None, 1)
 
 
+def test_quotes_of_other_conversations_than_the_first(spark):
+    data = [(1, 0, "> Common words\nquoted first"), (1, 1, "common words"), (2, 3, "Common words"), (3, 0, "common words"), (4, 0, "> common words\nx"), (2, 0, "> common words\ny")]
+    data += [(5, 0, "> only here\nbefore"), (5, 1, "only here")]
+    df = spark.createDataFrame([(c, t, "user", x, i) for i, (c, t, x) in enumerate(data)], "conv_id long, turn long, role string, text string, mid long")
+    parsed = quote_linking.parse_messages(df).withColumn("mid", quote_linking.F.col("conv_id"))
+    got = {r.mid: (r.from_conv, r.from_turn, r.own_turn) for r in quote_linking.link_quotes(parsed.where("size(levels) > 0 or turn > 0 or conv_id = 3")).collect() if r.passage}
+    assert got == {1: (2, 3, None), 4: (1, 1, None), 2: (1, 1, None), 5: (None, None, None)}
+    rows = {(r.conv_id, r.turn): (r.n_linked, r.reply_to) for r in quote_linking.conversations(df).collect()}
+    assert rows[1, 0] == (1, None) and rows[5, 0] == (0, None)
+
+
 def brute_pipeline(docs):
     """The deterministic stages: exact and near duplicates over the identified documents."""
     import re
