@@ -2,13 +2,14 @@
 
 Distinct words (pre-token pieces) are encoded by a Spark higher-order function that folds ranked
 merges over the ids of their bytes, with the ranks in a literal map. Spark searches a map from end to
-end, so the literal is an array of small maps, chosen by the key's remainder.
-
-The most frequent pieces of the corpus, counted over all of it, are encoded once and broadcast as a
-dictionary of flat sorted arrays, whose number and length of pieces are bounded. Every other piece goes through the
-same fold once for each group of documents (``GROUP_CHARS`` of text in one task), so that no text is shuffled. Only
-pieces over ``FOLD_BYTES``, for which a fold would take quadratic time, are merged with a heap. Decoding concatenates
-the binary pieces of ids.
+end, so the literal is an array of small maps, chosen by bits of both ids. The fold's state holds each id with the rank
+of its pair with the next, so that a step looks two pairs up.
+
+The most frequent pieces of the corpus, counted over all of it, are folded once and broadcast as a
+dictionary of flat sorted arrays, made in one task, whose number and length of pieces are bounded. Every other piece goes through the
+same fold once for each group of documents (``GROUP_BYTES`` of text in one task): documents stay where they are, and only the counted
+stretches are shuffled, each distinct one of a task once. Only pieces over ``FOLD_BYTES``, for which a fold would take quadratic
+time, are merged with a heap. Decoding concatenates the binary pieces of ids.
 """
 
 from __future__ import annotations
@@ -18,8 +19,6 @@ import hashlib
 import heapq
 import itertools
 import json
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,22 +28,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barrspark.llm.common import give_back, materialize
+from barrspark.llm.common import discard, give_back, materialize
+from barrspark.llm.stretches import BLOCK_BYTES, Numbers, blocks, distinct, texts_of
 
 #: Bounds on the broadcast dictionary.
 MAX_PIECES, MAX_PIECE_BYTES = 700_000, 32
 #: Pieces above this many bytes are merged with a heap.
 FOLD_BYTES = 256
-#: Buckets of the literal rank map, a prime, so that pairs spread by the remainder.
-_BUCKETS = 65_521
-_PLACES = 1 << 20
-#: Characters of the documents whose distinct pieces are folded together; a longer document is a group of its own.
-GROUP_CHARS = 6_000_000
-#: Before the key of a text's first stretch. A later one with the same start is counted as a first one, which only
-#: shifts a count and no result.
-_FIRST = "\0\0"
+#: Ids take so many bits; the literal rank map has ``_BUCKETS`` maps, a power of two.
+_BITS, _BUCKETS = 20, 1 << 15
+_ID = (1 << _BITS) - 1
+#: Bytes of the documents whose distinct pieces are folded together; a longer document is a group of its own.
+GROUP_BYTES = 8_000_000
+#: Words of a row that is folded, a bound on its size.
+_ROW_WORDS = 20_000
 #: Stretches that a task counts at most before it passes the counts on.
-_COUNTED = 100_000
+_COUNTED = 400_000
+#: A single mark after letters is a piece of its own.
+_MARKS = frozenset(".,;:!?")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -53,80 +54,84 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
-
-
-def chunks(text: str) -> list[str]:
-    """The text cut at single spaces between other characters, where a piece starts too.
-
-    All but the first stretch follow a space, which is left out.
-    """
-    parts = text.split(" ")
-    near = any(w in text and (" " + w in text or w + " " in text) for w in _SPACES)
-    if not (near or text[:1].isspace() or text[-1:].isspace()):
-        return parts
-    out = parts[:1]
-    for part in parts[1:]:
-        held = out[-1]
-        if not held or not part or held[-1].isspace() or part[0].isspace():
-            out[-1] = held + " " + part
-        else:
-            out.append(part)
-    return out
-
-
-def _pieces(chunk: str, find) -> list[str]:
-    """Pieces of a stretch with the space before it; only letters are one piece."""
-    return [" " + chunk] if chunk.isalpha() else find(" " + chunk)
+def pieces_of(stretch: str, find) -> list[str]:
+    """Pieces of a stretch, which mostly is letters, or letters and a mark."""
+    body = stretch[1:] if stretch[:1] == " " else stretch
+    if body.isalpha():
+        return [stretch]
+    if body[-1:] in _MARKS and body[:-1].isalpha():
+        return [stretch[:-1], stretch[-1]]
+    return find(stretch)
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
     """The literal rank map: a pair of token ids, as one number, to the id (and rank) of both joined."""
+    if max(ranks.values(), default=0) >= _ID:
+        raise ValueError(f"ids must be below {_ID}")
     maps: list[dict[int, int]] = [{} for _ in range(_BUCKETS)]
     for token, rank in ranks.items():
         for cut in range(1, len(token)):
             a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
             if a is not None and b is not None:
-                key = a * _PLACES + b
-                maps[_bucket(key)][key] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>").cast("array<map<bigint,int>>")
-
-
-def _bucket(key):
-    return key % _BUCKETS
+                maps[(a ^ a >> 7 ^ b << 5) & (_BUCKETS - 1)][a << _BITS | b] = rank
+    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
 
 
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
+
+
 def fold_merges(words: Column, ranks: Column) -> Column:
     """Ids of each of an array of words, which are arrays of the ids of their bytes.
 
-    The state of the fold is the array of ids. Each step joins the adjacent pair of lowest rank, leftmost
-    first; a state without a known pair stays as it is.
+    Each step joins the adjacent pair of lowest rank, leftmost first; a state without a known pair stays as it is.
     """
     return _let(ranks, lambda table: F.transform(words, lambda word: _fold(word, table)))
 
 
 def _fold(word: Column, table: Column) -> Column:
-    def rank(a: Column, b: Column) -> Column:
-        return _let(a * _PLACES + b, lambda key: F.try_element_at(F.get(table, _bucket(key).cast("int")), key))
+    """The state is an array of numbers: an id in the low bits, above it the rank of its pair with the next id.
+
+    Spark interprets lambdas, and bit operations are its quickest arithmetic there.
+    """
+    none = _ID << _BITS
+
+    def held(a: Column, b: Column) -> Column:
+        """``a`` with the rank of its pair with ``b``."""
+        bucket = a.bitwiseXOR(F.shiftright(a, 7)).bitwiseXOR(F.shiftleft(b, 5)).bitwiseAND(_long(_BUCKETS - 1))
+        rank = F.try_element_at(F.get(table, bucket.cast("int")), F.shiftleft(a, _BITS).bitwiseOR(b))
+        return F.shiftleft(F.coalesce(rank, _long(_ID)), _BITS).bitwiseOR(a)
 
-    def best(p: Column) -> Column:
-        """Lowest rank and its place, as one number; null where no pair has a rank."""
-        return F.array_min(F.transform(p, lambda x, i: rank(x, F.get(p, i + 1)).cast("long") * _PLACES + i))
+    def last(a: Column) -> Column:
+        return _long(none).bitwiseOR(a)
 
-    def joined(p: Column, rank: Column, i: Column) -> Column:
-        both = F.transform(p, lambda x, k: F.when(k == i, rank).otherwise(x))
-        return F.filter(both, lambda x, k: k != i + 1)
+    def id_of(x: Column) -> Column:
+        return x.bitwiseAND(_long(_ID))
+
+    def joined(p: Column, rank: Column, before: Column, at: Column, after: Column) -> Column:
+        def put(x: Column, k: Column) -> Column:
+            both = F.coalesce(held(rank, id_of(F.get(p, after + 1))), last(rank))
+            return F.when(k == at, both).otherwise(F.when(k == before, held(id_of(x), rank)).otherwise(x))
+
+        return F.filter(F.transform(p, put), lambda _, k: k != after)
+
+    def merged(p: Column, best: Column) -> Column:
+        """``best``: the lowest rank, and below it the place of its first pair."""
+        rank = F.shiftright(best, _BITS)
+        return _let(id_of(best).cast("int"), lambda i: _let(i - 1, lambda h: _let(i + 1, lambda j: joined(p, rank, h, i, j))))
 
     def step(p: Column, _: Column) -> Column:
-        found = lambda b: F.when(b.isNull(), p).otherwise(joined(p, F.floor(b / _PLACES), b % _PLACES))
-        return _let(best(p), found)
+        places = F.transform(p, lambda x, i: x.bitwiseAND(_long(~_ID)).bitwiseOR(i.cast("long")))
+        return F.when(F.array_min(p) >= _long(none), p).otherwise(_let(F.array_min(places), lambda best: merged(p, best)))
 
-    start = word.cast("array<bigint>")
-    return F.aggregate(F.slice(start, F.lit(2), F.size(word)), start, step).cast("array<int>")
+    ids = word.cast("array<bigint>")
+    rest = F.slice(ids, F.lit(2), F.size(ids))
+    start = F.zip_with(ids, rest, lambda a, b: F.coalesce(held(a, b), last(a)))
+    return F.transform(F.aggregate(rest, start, step), lambda x: id_of(x).cast("int"))
 
 
 def merge_with_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -158,22 +163,23 @@ def merge_with_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 def piece_counts(texts: DataFrame, pattern: str) -> DataFrame:
     """``piece`` (binary) and ``n`` over the whole column ``text``.
 
-    Stretches are counted first, so that each is cut into pieces once; a key tells a text's first stretch, which follows no space.
+    Stretches are counted first, so that each distinct one is cut into pieces once.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        seen: dict[bytes, int] = {}
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["stretch", "n"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["stretch", "n"])
             seen.clear()
             return out
 
         for b in batches:
-            for x in b.column(0):
-                parts = chunks(x.as_py() or "")
-                parts[0] = _FIRST + parts[0]
-                seen.update(parts)
+            for block, starts, lengths, _ in blocks(b.column(0)):
+                first, kind = distinct(block, starts, lengths)
+                times = np.bincount(kind, minlength=len(first)).tolist()
+                for x, n in zip(texts_of(block, starts[first], lengths[first]), times, strict=True):
+                    seen[x] = seen.get(x, 0) + n
                 if len(seen) > _COUNTED:
                     yield flush()
         yield flush()
@@ -182,14 +188,14 @@ def piece_counts(texts: DataFrame, pattern: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
         for b in batches:
-            pieces: Counter[str] = Counter()
-            for chunk, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for p in find(chunk[len(_FIRST) :]) if chunk.startswith(_FIRST) else _pieces(chunk, find):
-                    pieces[p] += n
+            pieces: dict[str, int] = {}
+            for stretch, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for p in pieces_of(stretch.decode(), find):
+                    pieces[p] = pieces.get(p, 0) + n
             columns = [pa.array([p.encode() for p in pieces], pa.binary()), pa.array(list(pieces.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["piece", "n"])
 
-    stretches = texts.mapInArrow(count, "stretch string, n long").groupBy("stretch").agg(F.sum("n").alias("n"))
+    stretches = texts.mapInArrow(count, "stretch binary, n long").groupBy("stretch").agg(F.sum("n").alias("n"))
     return stretches.mapInArrow(cut, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
@@ -230,15 +236,36 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
+def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of all elements of stretches of an array, one after the other."""
+    return np.repeat(starts - _offsets(lengths)[:-1], lengths) + np.arange(int(lengths.sum()))
+
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row: hashes of all words in order, bytes and edges of the words, ids and edges of these."""
+    words, ids, sizes = [], [], []
+    for b in batches:
+        words += b.column(0).to_pylist()
+        sizes.append(b.column(1).value_lengths().to_numpy(zero_copy_only=False))
+        ids.append(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+    keys = _hashes(words)
+    order = np.argsort(keys, kind="stable")
+    sizes, ids = np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, np.int32), *ids])
+    ids = ids[_ragged(_offsets(sizes)[order], sizes[order])]
+    words = [words[i] for i in order.tolist()]
+    row = [keys[order], b"".join(words), _offsets([len(x) for x in words]).astype(np.int32), ids, _offsets(sizes[order]).astype(np.int32)]
+    yield pa.RecordBatch.from_arrays([pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in row], _FLAT)
+
+
+_FLAT = ["hashes", "words", "edges", "ids", "id_edges"]
+
+
 class Dictionary:
-    """Words and their ids as flat arrays, in the order of the words' hashes; words of equal hash but the first are left out."""
+    """Words and their ids as flat arrays, in the order of the words' hashes; of words of equal hash only the first is found."""
 
-    def __init__(self, words: list[bytes], ids: pa.ListArray):
-        self.keys, first = np.unique(_hashes(words), return_index=True)
-        words, ids = [words[i] for i in first], ids.take(pa.array(first))
-        self.text, self.edges = b"".join(words), _offsets([len(x) for x in words])
-        self.ids = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        self.id_edges = _offsets(ids.value_lengths().to_numpy(zero_copy_only=False))
+    def __init__(self, hashes: bytes, words: bytes, edges: bytes, ids: bytes, id_edges: bytes):
+        self.keys, self.text = np.frombuffer(hashes, np.uint64), bytes(words)
+        self.edges, self.ids, self.id_edges = (np.frombuffer(x, np.int32) for x in (edges, ids, id_edges))
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Each word's place, or -1; equal hashes count only if the bytes are equal."""
@@ -255,82 +282,66 @@ class Dictionary:
         return out
 
 
-def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Places of all elements of stretches of an array, one after the other."""
-    return np.repeat(starts - _offsets(lengths)[:-1], lengths) + np.arange(int(lengths.sum()))
-
-
-class _Numbers(dict):
-    """The packed numbers of the pieces of a stretch, which are given as they come."""
-
-    def __init__(self, find):
-        super().__init__()
-        self.find, self.pieces = find, {}
-
-    def of(self, pieces: list[str]) -> bytes:
-        known = self.pieces
-        return b"".join([known.setdefault(p, len(known)).to_bytes(4, "little") for p in pieces])
-
-    def __missing__(self, chunk: str) -> bytes:
-        if chunk.isalpha():
-            known = self.pieces
-            out = known.setdefault(" " + chunk, len(known)).to_bytes(4, "little")
-        else:
-            out = self.of(_pieces(chunk, self.find))
-        self[chunk] = out
-        return out
-
-
-#: A group of documents: ids, numbers of their pieces, place of each number among first the given, then the folded words,
-#: lengths and ids of the given words, words to fold.
-_GROUP = "docs array<bigint>, numbers array<binary>, slots binary, sizes binary, given binary, words array<array<int>>"
+#: Rows of a group of documents: words to fold, and in its last row: ids, numbers of stretches, pieces by stretch and in all,
+#: the place of each piece among first the given, then the folded words, lengths and ids of the given words.
+_GROUP = "docs array<bigint>, numbers array<binary>, per binary, pieces binary, slots binary, sizes binary, given binary, words array<array<int>>"
 
 
-def _group(pattern: str, known, ranks, chars: int):
+def _group(pattern: str, known, ranks, size: int, row_words: int):
     """Groups of documents with the ids of their known pieces and the distinct other pieces as arrays of byte ids."""
+    names = [x.split()[0] for x in _GROUP.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, by_rank = regex.compile(pattern).findall, ranks.value
         single, table = _single_bytes(by_rank), known.value
 
-        def flush(docs: list, numbers: list[bytes], pieces: list[str]) -> pa.RecordBatch:
+        def rows(others: list[bytes], last: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, max(1, len(others)), row_words):
+                part = others[at : at + row_words]
+                letters = pa.array(single[np.frombuffer(b"".join(part), np.uint8)], pa.int32())
+                inner = pa.ListArray.from_arrays(pa.array(_offsets([len(x) for x in part]), pa.int32()), letters)
+                words = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), inner)
+                ends = at + row_words >= len(others)
+                yield pa.RecordBatch.from_arrays([*(x if ends else pa.nulls(1, x.type) for x in last), words], names)
+
+        def flush(docs: list, numbers: list[bytes], stretches: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+            pieces: dict[str, int] = {}
+            of, per = [], []
+            for x in stretches:
+                mine = pieces_of(x.decode(), find)
+                per.append(len(mine))
+                of += [pieces.setdefault(p, len(pieces)) for p in mine]
             words = [p.encode() for p in pieces]
             at = table.find(words)
             hits, long = np.flatnonzero(at >= 0), [i for i, w in enumerate(words) if len(w) > FOLD_BYTES]
             merged = [np.array(merge_with_heap(words[i], by_rank), np.int32) for i in long]
-            sizes = table.id_edges[at[hits] + 1] - table.id_edges[at[hits]]
-            given = np.concatenate([table.ids[_ragged(table.id_edges[at[hits]], sizes)], *merged])
+            starts = table.id_edges[at[hits]].astype(np.int64)
+            sizes = table.id_edges[at[hits] + 1] - starts
+            given = np.concatenate([table.ids[_ragged(starts, sizes)], *merged])
             sizes = np.concatenate([sizes, [len(m) for m in merged]])
             rest = np.ones(len(words), bool)
             rest[hits] = rest[long] = False
             rest = np.flatnonzero(rest)
             slots = np.empty(len(words), np.uint32)
             slots[np.concatenate([hits, np.array(long, np.int64), rest])] = np.arange(len(words))
-            others = [words[i] for i in rest.tolist()]
-            letters = pa.array(single[np.frombuffer(b"".join(others), np.uint8)], pa.int32())
-            inner = pa.ListArray.from_arrays(pa.array(_offsets([len(x) for x in others]), pa.int32()), letters)
-            columns = [
-                pa.array([docs], pa.list_(pa.int64())),
-                pa.array([numbers], pa.list_(pa.binary())),
-                *(pa.array([x.tobytes()], pa.binary()) for x in (slots, sizes.astype(np.uint32), given.astype(np.int32))),
-                pa.ListArray.from_arrays(pa.array([0, len(others)], pa.int32()), inner),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["docs", "numbers", "slots", "sizes", "given", "words"])
-
-        docs, numbers, size, seen = [], [], 0, _Numbers(find)
+            flat = [np.array(x, np.uint32) for x in (per, of, slots, sizes)] + [given.astype(np.int32)]
+            last = [pa.array([docs], pa.list_(pa.int64())), pa.array([numbers], pa.list_(pa.binary())), *(pa.array([x.tobytes()], pa.binary()) for x in flat)]
+            return rows([words[i] for i in rest.tolist()], last)
+
+        docs, numbers, held, seen = [], [], 0, Numbers()
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                text = x.as_py() or ""
-                parts = chunks(text)
-                docs.append(i)
-                numbers.append(seen.of(find(parts[0])) + b"".join(map(seen.__getitem__, parts[1:])))
-                size += len(text)
-                if size >= chars:
-                    yield flush(docs, numbers, list(seen.pieces))
-                    docs, numbers, size, seen = [], [], 0, _Numbers(find)
+            ids, i = b.column(0).to_pylist(), 0
+            for block, starts, lengths, per in blocks(b.column(1), min(size, BLOCK_BYTES)):
+                mine, ends = seen.of(block, starts, lengths), np.cumsum(per).tolist()
+                numbers += [mine[s:e].tobytes() for s, e in zip([0, *ends], ends, strict=False)]
+                docs += ids[i : i + len(per)]
+                i, held = i + len(per), held + len(block)
+                if held >= size:
+                    yield from flush(docs, numbers, seen.known)
+                    docs, numbers, held, seen = [], [], 0, Numbers()
                     give_back()
         if docs:
-            yield flush(docs, numbers, list(seen.pieces))
+            yield from flush(docs, numbers, seen.known)
         del docs, numbers, seen
         give_back()
 
@@ -339,16 +350,24 @@ def _group(pattern: str, known, ranks, chars: int):
 
 def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
     """Each document and the ids of its text, from a group's given and folded words."""
+    sizes_, ids_ = [], []
     for b in batches:
         for k in range(b.num_rows):
-            slots, sizes, given = (np.frombuffer(b.column(i)[k].as_py(), "<u4") for i in (2, 3, 4))
-            words = b.column(5)[k].values
-            lengths = np.concatenate([sizes.astype(np.int64), words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)])
-            ids = np.concatenate([given, words.flatten().to_numpy(zero_copy_only=False).astype("<u4")])
+            words = b.column(7)[k].values
+            sizes_.append(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            ids_.append(words.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
+            if not b.column(0)[k].is_valid:
+                continue
+            per, of, slots, sizes, given = (np.frombuffer(b.column(i)[k].as_py(), "<u4") for i in range(2, 7))
+            lengths, ids = np.concatenate([sizes.astype(np.int64), *sizes_]), np.concatenate([given, *ids_])
+            sizes_, ids_ = [], []
             starts = _offsets(lengths)[:-1]
-            lengths, starts = lengths[slots], starts[slots]
+            lengths, starts = lengths[slots[of]], starts[slots[of]]
+            ids, ends = ids[_ragged(starts, lengths)], _offsets(lengths)  # the ids of all stretches, one after the other
+            edges = ends[_offsets(per)]
+            starts, lengths = edges[:-1], np.diff(edges)
             for doc, numbers in zip(b.column(0)[k].as_py(), b.column(1)[k].values, strict=True):
-                at = np.frombuffer(numbers.as_py(), "<u4")
+                at = np.frombuffer(numbers.as_buffer(), "<u4")
                 yield doc, ids[_ragged(starts[at], lengths[at])]
         del b
         give_back()
@@ -357,17 +376,21 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | Non
 def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, doc_id: str, max_pieces: int) -> DataFrame:
     """Groups of documents, with the ids that the fold gives their other pieces."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     table = rank_literal(ranks)
     counts = materialize(piece_counts(texts.select("text"), pattern), "pieces")
     frequent = _frequent(counts, max_pieces).select("piece").repartition(max(1, spark.sparkContext.defaultParallelism))
     words = frequent.mapInArrow(_byte_ids(_single_bytes(ranks)), "piece binary, word array<int>")
-    found = words.select("piece", F.get(fold_merges(F.array("word"), table), 0).alias("ids")).toArrow()
-    known = spark.sparkContext.broadcast(Dictionary(found["piece"].to_pylist(), found["ids"].combine_chunks()))
-    del found
+    found = materialize(words.select("piece", F.get(fold_merges(F.array("word"), table), 0).alias("ids")), "dictionary")
+    # the dictionary's size is bounded, so one task lays it out
+    row = found.coalesce(1).mapInArrow(_flat, ", ".join(f"{c} binary" for c in _FLAT)).first()
+    known = spark.sparkContext.broadcast(Dictionary(*row))
+    del row
+    discard(counts)
+    discard(found)
     give_back()
     by_rank = spark.sparkContext.broadcast(ranks)
-    return texts.mapInArrow(_group(pattern, known, by_rank, GROUP_CHARS), _GROUP).withColumn("words", fold_merges(F.col("words"), table))
+    return texts.mapInArrow(_group(pattern, known, by_rank, GROUP_BYTES, _ROW_WORDS), _GROUP).withColumn("words", fold_merges(F.col("words"), table))
 
 
 def _some(items: Iterator, most: int = 256) -> Iterator[list]:

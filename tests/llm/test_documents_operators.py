@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barrspark.llm import block_naming, byte_bpe, langid_bayes, log_bilinear, simhash_ball, skip_chain_crf, temperature_mix
+from barrspark.llm import block_naming, byte_bpe, langid_bayes, log_bilinear, simhash_ball, skip_chain_crf, stretches, temperature_mix
 
 WORDS = "the and of river stone light under morning quiet forest walked along small hidden valley".split()
 SCHEMA = "doc_id long, text string, lang string, source string, name string, component_id long, lo int, key string"
@@ -198,6 +198,7 @@ def test_bpe_matches_the_library(spark):
     data = [None, "", " ", "  \n ", "it's  we'll \n\n x", "a b 　 c\x1c d\x85e", "日本語 テスト 1234567 ½ Ⅷ", "aaaaaaaaa" * 200, "ab" * 5000, "<|endoftext|> x", "​ zero﻿", "x" * 300 + " y" * 3]
     data += [prose(i, 80).title() + "  \t" + "é" * i for i in range(20)]
     df = rows(spark, [(i, t, "en", "s") for i, t in enumerate(data)] + [(3, "  \n ", "en", "s")])
+    assert byte_bpe.encode(df.limit(0), ranks, P.PATTERN).count() == 0
     for most in (0, 40, 1 << 18):
         enc_df = byte_bpe.encode(df, ranks, P.PATTERN, max_pieces=most)
         for r in byte_bpe.decode(enc_df, ranks).collect():
@@ -213,7 +214,8 @@ def test_bpe_over_several_groups(spark, monkeypatch):
     ranks = byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken"))
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     data = [None] * 300 + [prose(i, i % 7).title() + " xq%dz" % i * (i % 3) for i in range(500)]
-    monkeypatch.setattr(byte_bpe, "GROUP_CHARS", 2000)
+    monkeypatch.setattr(byte_bpe, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(byte_bpe, "_ROW_WORDS", 7)
     df = rows(spark, [(i, t, "en", "s") for i, t in enumerate(data)]).coalesce(1)
     got = byte_bpe.encode_and_check(df, ranks, P.PATTERN, keep_ids=True, max_pieces=20).collect()
     assert len(got) == len(data)
@@ -228,10 +230,42 @@ def test_bpe_dictionary_tells_equal_hashes_apart(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(byte_bpe, "_hashes", lambda words: np.array([len(w) for w in words], np.uint64))
-    table = byte_bpe.Dictionary([b"ab", b"cd", b"xyz"], pa.array([[1], [2], [3, 4]]))
-    assert table.find([b"ab", b"cd", b"xyz", b"q"]).tolist() == [0, -1, 1, -1]
-    assert table.ids.tolist() == [1, 3, 4]
-    assert byte_bpe.Dictionary([], pa.array([], pa.list_(pa.int32()))).find([b"a"]).tolist() == [-1]
+
+    def dictionary(words, ids):
+        batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ids, pa.list_(pa.int32()))], ["piece", "ids"])
+        return byte_bpe.Dictionary(*(x[0].as_py() for x in next(byte_bpe._flat(iter([batch]))).columns))
+
+    table = dictionary([b"xyz", b"ab", b"cd"], [[3, 4], [1], [2]])
+    assert table.find([b"ab", b"cd", b"xyz", b"q"]).tolist() == [0, -1, 2, -1]
+    assert table.ids.tolist() == [1, 2, 3, 4]
+    assert dictionary([], []).find([b"a"]).tolist() == [-1]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_stretches_have_the_pieces_of_their_text(monkeypatch, weak):
+    """Pieces of the stretches are those of the whole text, also where all stretches of a length share one key."""
+    import public_tokenizers as P
+    import pyarrow as pa
+    import regex
+
+    if weak:
+        monkeypatch.setattr(stretches, "_keys", lambda numbers, lengths: lengths.astype(np.uint64))
+        monkeypatch.setattr(stretches.xxhash, "xxh64_intdigest", lambda b: 7)
+    rng, find = np.random.default_rng(5), regex.compile(P.PATTERN).findall
+    alphabet = list("ab1.,'s  \n\t") + ["é", "à", "\u00a0", "\u3000", "日", "\u2003", "\x85", "\x1c", "𝒳", "ア", "\x00"]
+    texts = [None, "", " ", "a", *("".join(rng.choice(alphabet, n)) for n in rng.integers(1, 60, 800)), "x" * 30 + " " + "x" * 31 + " " + "x" * 30]
+    texts = [*texts, " ".join(["same long stretch" * 3, "y" * 40] * 3)]
+    numbers, got = stretches.Numbers(), []
+    for block, starts, lengths, per in stretches.blocks(pa.array(texts, pa.string()).slice(1), 500):
+        mine, at = numbers.of(block, starts, lengths), 0
+        for n in per.tolist():
+            got.append(mine[at : at + n].tolist())
+            at += n
+    said = [x.decode() for x in numbers.known]
+    assert len(got) == len(texts) - 1
+    for t, at in zip(texts[1:], got, strict=True):
+        assert "".join(said[k] for k in at) == t
+        assert [p for k in at for p in byte_bpe.pieces_of(said[k], find)] == find(t), t
 
 
 def test_heap_equals_fold_order():
