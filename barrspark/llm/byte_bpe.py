@@ -18,14 +18,13 @@ import base64
 import hashlib
 import heapq
 import itertools
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barrspark.llm.common import discard, give_back, materialize
@@ -64,17 +63,26 @@ def pieces_of(stretch: str, find) -> list[str]:
     return find(stretch)
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The literal rank map: a pair of token ids, as one number, to the id (and rank) of both joined."""
+def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
+    """The literal rank map: a pair of token ids, as one number, to the id (and rank) of both joined.
+
+    It is the constant of a scalar subquery over a table of one row: a literal written out in the plan would be printed
+    with every plan, in strings of many megabytes on the driver.
+    """
     if max(ranks.values(), default=0) >= _ID:
         raise ValueError(f"ids must be below {_ID}")
-    maps: list[dict[int, int]] = [{} for _ in range(_BUCKETS)]
-    for token, rank in ranks.items():
-        for cut in range(1, len(token)):
-            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if a is not None and b is not None:
-                maps[(a ^ a >> 7 ^ b << 5) & (_BUCKETS - 1)][a << _BITS | b] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
+
+    def maps(_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict[int, int]] = [{} for _ in range(_BUCKETS)]
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    out[(a ^ a >> 7 ^ b << 5) & (_BUCKETS - 1)][a << _BITS | b] = rank
+        kind = pa.list_(pa.map_(pa.int64(), pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([[list(x.items()) for x in out]], kind)], ["ranks"])
+
+    return materialize(spark.range(0, 1, 1, 1).mapInArrow(maps, "ranks array<map<bigint,bigint>>"), "ranks").scalar()
 
 
 def _let(value: Column, body) -> Column:
@@ -218,16 +226,23 @@ def _single_bytes(ranks: dict[bytes, int]) -> np.ndarray:
 
 
 def _byte_ids(single: np.ndarray):
-    """Adds to each piece the ids of its bytes."""
+    """Rows of many pieces, with the ids of the bytes of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [single[np.frombuffer(x.as_py(), np.uint8)] for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.int32()))], ["piece", "word"])
+            words = pa.array([single[np.frombuffer(x.as_py(), np.uint8)] for x in b.column(0)], pa.list_(pa.int32()))
+            rows = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), x) for x in (b.column(0), words)]
+            yield pa.RecordBatch.from_arrays(rows, ["pieces", "words"])
 
     return run
 
 
+def _with_ids(rows: DataFrame, ranks: Column) -> DataFrame:
+    """The column ``words`` folded. Lambdas take no subquery, so the ranks are a column first."""
+    folded = rows.withColumn("__ranks", ranks).withColumn("words", fold_merges(F.col("words"), F.col("__ranks")))
+    return folded.drop("__ranks")
+
+
 def _offsets(lengths) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)])
 
@@ -245,9 +260,10 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row: hashes of all words in order, bytes and edges of the words, ids and edges of these."""
     words, ids, sizes = [], [], []
     for b in batches:
-        words += b.column(0).to_pylist()
-        sizes.append(b.column(1).value_lengths().to_numpy(zero_copy_only=False))
-        ids.append(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+        words += b.column(0).flatten().to_pylist()
+        folded = b.column(1).flatten()
+        sizes.append(folded.value_lengths().to_numpy(zero_copy_only=False))
+        ids.append(folded.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
     keys = _hashes(words)
     order = np.argsort(keys, kind="stable")
     sizes, ids = np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, np.int32), *ids])
@@ -377,11 +393,11 @@ def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, d
     """Groups of documents, with the ids that the fold gives their other pieces."""
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    table = rank_literal(ranks)
+    table = rank_literal(spark, ranks)
     counts = materialize(piece_counts(texts.select("text"), pattern), "pieces")
     frequent = _frequent(counts, max_pieces).select("piece").repartition(max(1, spark.sparkContext.defaultParallelism))
-    words = frequent.mapInArrow(_byte_ids(_single_bytes(ranks)), "piece binary, word array<int>")
-    found = materialize(words.select("piece", F.get(fold_merges(F.array("word"), table), 0).alias("ids")), "dictionary")
+    words = frequent.mapInArrow(_byte_ids(_single_bytes(ranks)), "pieces array<binary>, words array<array<int>>")
+    found = materialize(_with_ids(words, table), "dictionary")
     # the dictionary's size is bounded, so one task lays it out
     row = found.coalesce(1).mapInArrow(_flat, ", ".join(f"{c} binary" for c in _FLAT)).first()
     known = spark.sparkContext.broadcast(Dictionary(*row))
@@ -390,7 +406,7 @@ def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, d
     discard(found)
     give_back()
     by_rank = spark.sparkContext.broadcast(ranks)
-    return texts.mapInArrow(_group(pattern, known, by_rank, GROUP_BYTES, _ROW_WORDS), _GROUP).withColumn("words", fold_merges(F.col("words"), table))
+    return _with_ids(texts.mapInArrow(_group(pattern, known, by_rank, GROUP_BYTES, _ROW_WORDS), _GROUP), table)
 
 
 def _some(items: Iterator, most: int = 256) -> Iterator[list]:

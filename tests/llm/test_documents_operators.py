@@ -232,7 +232,7 @@ def test_bpe_dictionary_tells_equal_hashes_apart(monkeypatch):
     monkeypatch.setattr(byte_bpe, "_hashes", lambda words: np.array([len(w) for w in words], np.uint64))
 
     def dictionary(words, ids):
-        batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(ids, pa.list_(pa.int32()))], ["piece", "ids"])
+        batch = pa.RecordBatch.from_arrays([pa.array([words], pa.list_(pa.binary())), pa.array([ids], pa.list_(pa.list_(pa.int32())))], ["pieces", "words"])
         return byte_bpe.Dictionary(*(x[0].as_py() for x in next(byte_bpe._flat(iter([batch]))).columns))
 
     table = dictionary([b"xyz", b"ab", b"cd"], [[3, 4], [1], [2]])
