@@ -1,11 +1,12 @@
 """Language-model scoring with a log-bilinear model trained in numpy by noise-contrastive estimation.
 
 Counts of all training tokens come first. The most frequent words are outputs of their own, all others
-share classes by hash; a word of a class has its smoothed share of the class. The model predicts the
-output from the two before it: their vectors, each times a matrix of its place, add up to the
-predicted vector, whose products with the outputs' vectors, plus biases, are the logits. It is trained on
-every training text, a slice a round: each task goes over its texts, and the parameters are averaged by
-tokens. Matrix products give the normaliser of every context, so all token probabilities sum to one.
+share classes by their last two bytes, which tell languages and endings apart; a word of a class has its smoothed share of the
+class. The model predicts the output from the two before it: their vectors, each times a matrix of its place, add up to the
+predicted vector, whose products with the outputs' vectors, plus biases, are the logits. Biases start at the logarithm of the
+outputs' shares, so that training starts from the unigram model. It is trained on every training text, in rounds over slices of growing size:
+each task goes over its texts with steps scaled by the squares of past gradients, and parameters and these sums are averaged by
+tokens. Matrix products, dealt over tasks, give the normaliser of every context, so all token probabilities sum to one.
 
 Words outside a bounded broadcast table of frequent words meet their counts in a join; these are rare by
 construction, so none of them is hot.
@@ -20,17 +21,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barrspark.llm.common import crc_bucket, materialize, word_chunks
 
-#: Outputs of their own, hashed classes for the other words, and the size of vectors.
-OWN, CLASSES, DIM = 384, 64, 16
-#: Bounds on the broadcast table of frequent words.
-MAX_WORDS, MAX_WORD_BYTES = 1 << 18, 48
-ROUNDS = 2
-_BATCH, _NOISE, _K = 2048, 32, 8
+#: Outputs of their own, classes for the other words, and the size of vectors.
+OWN, CLASSES, DIM = 1024, 512, 16
+#: Bounds on the broadcast table of frequent words; the most frequent longer ones are in it too, so that none of them is a hot key.
+MAX_WORDS, MAX_WORD_BYTES, MAX_LONG, MAX_LONG_BYTES = 1 << 18, 48, 256, 1 << 16
+#: Sixteenths of the training texts that each round learns from.
+ROUNDS = ((0, 1), (1, 6), (6, 16))
+#: Targets of a step, noise outputs that they share, noise outputs that each counts for, and the step size.
+_BATCH, _NOISE, _K, _RATE = 1024, 128, 25, 0.1
 _FLUSH = 400_000
 END = b""
 
@@ -59,7 +62,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _class_of(word: bytes, own: int) -> int:
-    return own + zlib.crc32(word) % CLASSES
+    return own + zlib.crc32(word[-2:]) % CLASSES
+
+
+def _class_column(word: Column) -> Column:
+    """The class of the word, by its last two bytes, counted from 0."""
+    return F.pmod(F.crc32(F.substring(word, -2, 2)), F.lit(CLASSES)).cast("int")
 
 
 @dataclass
@@ -90,6 +98,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
             break
         least = bar["level"]
     kept = short.where(level >= least) if least is not None else short.limit(0)
+    long = counts.where(F.length("word").between(MAX_WORD_BYTES + 1, MAX_LONG_BYTES))
+    kept = kept.select("word", "c").union(long.orderBy(F.desc("c"), "word").limit(MAX_LONG).select("word", "c"))
     found = kept.repartition(max(1, counts.sparkSession.sparkContext.defaultParallelism)).toArrow()
     pairs = sorted(zip(found["word"].to_pylist(), found["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     own = min(OWN, len(pairs))
@@ -97,12 +107,12 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     output = np.array([i if i < own else _class_of(w, own) for i, (w, _) in enumerate(pairs)], np.int64)
     mine = np.array([c for _, c in pairs], np.int64)
     # each class: counts plus one of its words, and one for all words that training lacks
-    sums = counts.groupBy(F.pmod(F.crc32("word"), F.lit(CLASSES)).alias("k")).agg(F.sum(F.col("c") + 1).alias("m"))
+    sums = counts.groupBy(_class_column(F.col("word")).alias("k")).agg(F.sum(F.col("c") + 1).alias("m"))
     mass = np.ones(CLASSES)
     for r in sums.collect():
         mass[r["k"]] += r["m"]
     for i in range(own):
-        mass[zlib.crc32(pairs[i][0]) % CLASSES] -= mine[i] + 1
+        mass[_class_of(pairs[i][0], 0)] -= mine[i] + 1
     return Vocabulary(words, mine, output, own, mass, int(tokens), int(distinct))
 
 
@@ -165,28 +175,46 @@ class Model:
         n = len(prior)
         return Model(rng.normal(0, 0.1, (n, DIM)), rng.normal(0, 0.1, (n, DIM)), np.stack([np.eye(DIM), np.eye(DIM) * 0.5]), np.log(prior))
 
+    @property
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.r, self.q, self.c, self.b
+
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.r, self.q, self.c, self.b)])
+        return np.concatenate([x.ravel() for x in self.parts])
 
     @staticmethod
     def of(flat: np.ndarray, n: int) -> Model:
         cuts = np.cumsum([n * DIM, n * DIM, 2 * DIM * DIM])
-        r, q, c, b = np.split(flat, cuts)
-        return Model(r.reshape(n, DIM).copy(), q.reshape(n, DIM).copy(), c.reshape(2, DIM, DIM).copy(), b.copy())
-
-    def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Logit shares of both places, ``[context, output]``, and the log normaliser ``[first, second]``.
+        r, q, c, b = np.split(flat.astype(np.float32), cuts)
+        return Model(r.reshape(n, DIM), q.reshape(n, DIM), c.reshape(2, DIM, DIM), b)
 
-        The second share holds the biases.
-        """
+    def shares(self) -> tuple[np.ndarray, np.ndarray]:
+        """Logit shares of both places, ``[context, output]``; that of the nearer holds the biases."""
         near, far = (self.r @ m.T @ self.q.T for m in self.c)
-        near = near + self.b
-        z = np.empty((len(self.b), len(self.b)))
-        for i in range(len(z)):
-            s = near[i] + far  # all contexts whose nearer word is i
-            top = s.max(axis=1)
-            z[i] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
-        return near, far, z
+        return near + self.b, far
+
+
+def normalisers(spark: SparkSession, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Log normaliser of every context, ``[nearer, farther]``; each task takes some of the nearer outputs."""
+    n, shared = len(near), spark.sparkContext.broadcast((near, far))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, far = shared.value
+        for b in batches:
+            out = []
+            for i in b.column(0).to_pylist():
+                s = near[i] + far  # all contexts whose nearer word is i
+                top = s.max(axis=1)
+                s -= top[:, None]
+                out.append((top + np.log(np.exp(s, out=s).sum(axis=1))).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["i", "z"])
+
+    tasks = max(1, min(n, spark.sparkContext.defaultParallelism))
+    rows = spark.range(0, n, 1, tasks).mapInArrow(run, "i long, z binary").toArrow()
+    out = np.empty((n, n), np.float32)
+    for i, z in zip(rows["i"].to_pylist(), rows["z"].to_pylist(), strict=True):
+        out[i] = np.frombuffer(z, np.float32)
+    return out
 
 
 def _scatter(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -194,25 +222,28 @@ def _scatter(n: int, at: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.bincount(flat, rows.ravel(), n * DIM).reshape(n, DIM)
 
 
-def nce_step(m: Model, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, noise: np.ndarray, logq: np.ndarray, rate: float) -> None:
-    """One step on a batch: nearer and farther context, targets, and shared noise outputs."""
-    n, size = len(m.b), len(w)
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def nce_step(m: Model, past: Model, w1: np.ndarray, w2: np.ndarray, w: np.ndarray, noise: np.ndarray, logq: np.ndarray) -> None:
+    """One step on a batch: nearer and farther context, targets, and shared noise outputs; ``past`` sums squares of gradients."""
+    n = len(m.b)
     r1, r2 = m.r[w1], m.r[w2]
-    q = r1 @ m.c[0].T + r2 @ m.c[1].T
-    sigma = lambda s: 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-    gd = sigma((q * m.q[w]).sum(1) + m.b[w] - logq[w]) - 1
-    gn = sigma(q @ m.q[noise].T + m.b[noise] - logq[noise]) * (_K / len(noise))
-    dq = gd[:, None] * m.q[w] + gn @ m.q[noise]
-    out = _scatter(n, w, gd[:, None] * q) + _scatter(n, noise, gn.T @ q)
-    bias = np.bincount(w, gd, n) + np.bincount(noise, gn.sum(0), n)
-    ctx = _scatter(n, w1, dq @ m.c[0]) + _scatter(n, w2, dq @ m.c[1])
-    mats = np.stack([dq.T @ r1, dq.T @ r2])
-    # an output's own step shrinks with how often it occurs in the batch
-    share = 1 / np.sqrt(np.bincount(w, minlength=n) + np.bincount(w1, minlength=n) + 1.0)
-    m.q -= rate * out * share[:, None]
-    m.r -= rate * ctx * share[:, None]
-    m.b -= rate * bias * share
-    m.c -= rate * mats / np.sqrt(size) * 0.1
+    h = r1 @ m.c[0].T + r2 @ m.c[1].T
+    q, qn = m.q[w], m.q[noise]
+    gd = _sigmoid((h * q).sum(1) + m.b[w] - logq[w]) - 1
+    gn = _sigmoid(h @ qn.T + m.b[noise] - logq[noise]) * np.float32(_K / len(noise))
+    dh = gd[:, None] * q + gn @ qn
+    grads = (
+        _scatter(n, np.concatenate([w1, w2]), np.concatenate([dh @ m.c[0], dh @ m.c[1]])),
+        _scatter(n, np.concatenate([w, noise]), np.concatenate([gd[:, None] * h, gn.T @ h])),
+        np.stack([dh.T @ r1, dh.T @ r2]),
+        np.bincount(np.concatenate([w, noise]), np.concatenate([gd, gn.sum(0)]), n),
+    )
+    for x, s, g, rate in zip(m.parts, past.parts, grads, (_RATE, _RATE, _RATE / 10, _RATE), strict=True):
+        s += g * g
+        x -= rate * g / np.sqrt(s)
 
 
 def _contexts(seq: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,10 +251,12 @@ def _contexts(seq: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     return pad[1:-1], pad[:-2]
 
 
-def _train_round(start: np.ndarray, prior: np.ndarray, end: int, rate: float):
+def _train_round(start: np.ndarray, prior: np.ndarray, end: int):
+    """``start``: parameters, then sums of squares of gradients."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(prior)
-        m, logq = Model.of(start, n), np.log(_K * prior)
+        (m, past), logq = (Model.of(x, n) for x in np.split(start, 2)), np.log(_K * prior).astype(np.float32)
         cum, rng, tokens = np.cumsum(prior), np.random.default_rng(11), 0
         held: list[list[np.ndarray]] = [[], [], []]
         waiting = 0
@@ -235,7 +268,7 @@ def _train_round(start: np.ndarray, prior: np.ndarray, end: int, rate: float):
             while at < len(w) and (last or len(w) - at >= _BATCH):
                 s = slice(at, at + _BATCH)
                 noise = np.minimum(np.searchsorted(cum, rng.random(_NOISE)), n - 1)
-                nce_step(m, w1[s], w2[s], w[s], noise, logq, rate)
+                nce_step(m, past, w1[s], w2[s], w[s], noise, logq)
                 at += _BATCH
             held = [[w[at:]], [w1[at:]], [w2[at:]]]
             waiting = len(w[at:])
@@ -251,30 +284,35 @@ def _train_round(start: np.ndarray, prior: np.ndarray, end: int, rate: float):
                     learn(False)
         learn(True)
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([m.flat()], pa.list_(pa.float64()))], ["tokens", "params"])
+            flat = np.concatenate([m.flat(), past.flat()]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([flat], pa.list_(pa.float64()))], ["tokens", "params"])
 
     return run
 
 
-def train(tokenised: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """The model, from the ``outputs`` of all rows that are not held out."""
+def _end_output(vocab: Vocabulary) -> int:
+    return int(vocab.output[vocab.words[END]]) if END in vocab.words else _class_of(END, vocab.own)
+
+
+def train(tokenised: DataFrame, vocab: Vocabulary) -> Model:
+    """The model, from the ``outputs`` of all rows that are known not to be held out."""
     prior = np.full(vocab.outputs, 1.0)
     np.add.at(prior, vocab.output[: vocab.own], vocab.counts[: vocab.own])
     prior[vocab.own :] += vocab.class_mass
     prior /= prior.sum()
-    end = int(vocab.output[vocab.words[END]]) if END in vocab.words else _class_of(END, vocab.own)
-    flat = Model.start(prior).flat()
-    rows = tokenised.where("held_out is null or not held_out")
-    for k in range(rounds):
-        mine = rows.where(F.pmod(F.xxhash64("outputs"), F.lit(rounds)) == k).select("outputs")
-        parts = mine.mapInArrow(_train_round(flat, prior, end, 0.05 / (1 + k)), "tokens long, params array<double>")
+    first = Model.start(prior).flat()
+    flat = np.concatenate([first, np.full(len(first), 1e-3)])
+    slot = F.pmod(F.xxhash64("outputs"), F.lit(ROUNDS[-1][1]))
+    for low, high in ROUNDS:
+        mine = tokenised.where("not held_out").where((slot >= low) & (slot < high)).select("outputs")
+        parts = mine.mapInArrow(_train_round(flat, prior, _end_output(vocab)), "tokens long, params array<double>")
         each = parts.select("tokens", F.posexplode("params").alias("i", "x"))
         mean = each.groupBy("i").agg((F.sum(F.col("x") * F.col("tokens")) / F.sum("tokens")).alias("x"))
         got = mean.toArrow()
         if got.num_rows:
             flat = flat.copy()
             flat[got["i"].to_numpy()] = got["x"].to_numpy()
-    return Model.of(flat, vocab.outputs)
+    return Model.of(flat[: len(first)], vocab.outputs)
 
 
 def _log_probabilities(tables, end: int):
@@ -314,17 +352,16 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fol
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, within double, outputs binary, tail array<binary>, times array<long>"
     tokenised = materialize(read.mapInArrow(_tokenised(shared), schema).withColumn("rid", F.monotonically_increasing_id()), "tokenised")
     model = train(tokenised.select("held_out", "outputs"), vocab)
-    near, far, z = model.scores()
+    near, far = model.shares()
     # the nearer share is read by [nearer, output], the normaliser by [nearer, farther]
-    tables = sc.broadcast((near.astype(np.float32), far.astype(np.float32), z.astype(np.float32)))
-    end = int(vocab.output[vocab.words[END]]) if END in vocab.words else _class_of(END, vocab.own)
+    tables = sc.broadcast((near, far, normalisers(docs.sparkSession, near, far)))
     scored = tokenised.drop("tail", "times").mapInArrow(
-        _log_probabilities(tables, end), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, within double, rid long, model double"
+        _log_probabilities(tables, _end_output(vocab)), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, within double, rid long, model double"
     )
     log_mass = F.array(*[F.lit(float(x)) for x in np.log10(vocab.class_mass)])
     rare = tokenised.select("rid", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("rid", F.col("t.tail").alias("word"), "t.times")
     rare = rare.join(counts, "word", "left").withColumn("logc", F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)))
-    rare = rare.withColumn("inside", F.col("logc") - F.get(log_mass, F.pmod(F.crc32("word"), F.lit(CLASSES)).cast("int")))
+    rare = rare.withColumn("inside", F.col("logc") - F.get(log_mass, _class_column(F.col("word"))))
     sums = rare.groupBy("rid").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("k"),
         F.sum(F.col("times") * F.col("logc")).alias("b"),

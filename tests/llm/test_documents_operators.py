@@ -384,7 +384,15 @@ def test_log_bilinear_counts_and_normalisation(spark, monkeypatch):
     monkeypatch.setattr(log_bilinear, "MAX_WORDS", 25)
     data = [(i, " ".join(["the quick fox", "sees a Dog"][i % 2] for _ in range(20)) + f" w{i % 30} u{i}", "en", "s") for i in range(140)]
     data += [(500, None, "en", "s"), (501, "", None, None), (None, "the quick fox", "en", "s"), (502, "neverseen " * 3, "en", "s")]
+    seen, train = [], log_bilinear.train
+
+    def kept(tokenised, vocab):
+        seen.append((vocab, train(tokenised, vocab)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(log_bilinear, "train", kept)
     got = log_bilinear.score_texts(rows(spark, data)).collect()
+    monkeypatch.undo()
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in data if i is not None}
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) + [""]
     c = Counter(w for i, t, _, _ in data if i is not None and not held[i] for w in tokens(t))
@@ -396,8 +404,27 @@ def test_log_bilinear_counts_and_normalisation(spark, monkeypatch):
         assert r.base_score == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w), abs=1e-6)
     mine = [r for r in got if r.held_out and r.doc_id < 140]
     assert sum(r.score for r in mine) > sum(r.base_score for r in mine)
-    model = log_bilinear.Model.start(np.full(9, 1 / 9))
-    near, far, z = model.scores()
-    for i in range(9):
-        for j in range(9):
-            assert np.exp(near[i] + far[j] - z[i, j]).sum() == pytest.approx(1)
+    # every score, from the model's own numbers: a softmax over the outputs, and a word's share of its class
+    (vocab, model), = seen
+    assert vocab.own == 12 and 12 < len(vocab.words) <= 25
+    logits = lambda a, b: (model.c[0] @ model.r[a] + model.c[1] @ model.r[b]) @ model.q.T + model.b
+    out = lambda w: vocab.words[w] if vocab.words.get(w, 99) < 12 else log_bilinear._class_of(w, 12)
+    for r in got[:60] + got[-4:]:
+        total, before = 0.0, [out(b"")] * 2
+        for w in (x.encode() for x in tokens(by[r.doc_id])):
+            s, o = logits(*before).astype(float), out(w)
+            total += np.log10(np.exp(s[o]) / np.exp(s).sum())
+            total += np.log10((c[w.decode()] + 1) / vocab.class_mass[o - 12]) if o >= 12 else 0.0
+            before = [o, before[0]]
+        assert r.score == pytest.approx(total, abs=2e-3)
+    # the shares of a class's words, and one for a word that training lacks, sum to one
+    for k in {log_bilinear._class_of(w.encode(), 0) for w in c}:
+        inside = [c[w] + 1 for w in c if log_bilinear._class_of(w.encode(), 0) == k and out(w.encode()) >= 12]
+        assert sum(inside) + 1 == vocab.class_mass[k]
+    assert log_bilinear.score_texts(rows(spark, data).limit(0)).count() == 0
+
+
+def test_log_bilinear_beats_its_base_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = log_bilinear.score_texts(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[0] > held[1] + 0.05 * held[2]
