@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -281,12 +282,13 @@ def pages_as_arc(pages: DataFrame, key: str = "page_id", url: str = "url", html:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial, version, size, parts = 0, 1, 0, []
+        task = TaskContext.get().partitionId()  # the same in a task that runs again
         done: list[tuple[str, bytes]] = []
         for b in batches:
             for k, u, h in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 body, page = h.as_py() or b"", k.as_py()
                 if not parts:
-                    version, name = 1 + serial % 2, f"pages-{serial}-{page}.arc"
+                    version, name = 1 + serial % 2, f"pages-{task}-{serial}.arc"
                     parts, size = [arc_version_block(version, name)], 0
                 address = (u.as_py() or "unknown:").replace(" ", "%20").replace("\n", "%0A").replace("\r", "%0D")
                 own = f"X-Page-Id: {page}\r\n" if page is not None else ""

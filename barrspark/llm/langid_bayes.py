@@ -2,7 +2,8 @@
 
 Counts come from all labelled training rows; each task sums its own count vectors, which Spark adds
 up by (language, bin). The matrix of log-probabilities has a bounded size and is broadcast; a text's
-score is a sparse product: the rows of its n-gram bins, gathered and summed in numpy.
+scores are a sparse product: the distinct bins of a batch's texts with their counts, as one sparse matrix in rows, times the rows of
+the table, block by block.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from barrspark.llm.common import crc_bucket
 
 ORDERS = (1, 2, 3)
 BINS = 1 << 15
-#: Bound on the broadcast matrix; bins are halved until languages x bins fit.
-MATRIX_BYTES = 64 << 20
+#: Bound on the broadcast matrix: languages beyond ``MATRIX_BYTES / (4 * BINS)`` are an error, as other bins would be another model.
+MATRIX_BYTES = 256 << 20
 SMOOTHING = 0.5
 UNKNOWN = "und"
 _SEGMENT = 1 << 20
+#: Entries of the sparse matrix that are multiplied together, and n-grams from which they are counted by bins.
+_ENTRIES, _DENSE = 1 << 17, 1 << 9
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
@@ -104,25 +107,48 @@ class NaiveBayes:
     def __init__(self, langs: list[str], table: np.ndarray, prior: np.ndarray):
         self.langs, self.table, self.prior = langs, table, prior
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior; ``und`` and 0 without letters or languages."""
-        if not self.langs or not _has_letter(text):
-            return UNKNOWN, 0.0
-        total = self.prior.copy()
-        for idx in _gram_bins(text, len(self.table)):
-            for at in range(0, len(idx), 1 << 16):
-                total += self.table[idx[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The likeliest language and its posterior of each text; ``und`` and 0 without letters or languages."""
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        known = [i for i, t in enumerate(texts) if self.langs and _has_letter(t)]
+        if not known:
+            return out
+        total = np.tile(self.prior, (len(known), 1))
+        held: list[tuple[int, np.ndarray, np.ndarray]] = []
+        size = 0
+        for row, i in enumerate(known):
+            for idx in _gram_bins(texts[i], len(self.table)):
+                n = np.bincount(idx) if len(idx) > _DENSE else None
+                at, n = np.unique(idx, return_counts=True) if n is None else (np.flatnonzero(n), n[n > 0])
+                held.append((row, at, n))
+                size += len(at)
+                if size >= _ENTRIES:
+                    self._add(total, held)
+                    held, size = [], 0
+        self._add(total, held)
+        best = total.argmax(1)
+        score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        for i, k, x in zip(known, best.tolist(), score, strict=True):
+            out[i] = (self.langs[k], float(x))
+        return out
+
+    def _add(self, total: np.ndarray, held: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """Adds the product of a sparse matrix (row, bins, counts) and the table."""
+        if held:
+            edges = np.cumsum([0] + [len(at) for _, at, _ in held[:-1]])
+            bins, n = np.concatenate([at for _, at, _ in held]), np.concatenate([n for _, _, n in held])
+            products = np.add.reduceat(self.table[bins] * n[:, None].astype(np.float64), edges, axis=0)
+            np.add.at(total, [row for row, _, _ in held], products)
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", training: Column | None = None) -> NaiveBayes:
     """The model from all rows of ``docs`` that ``training`` allows and that have a language and a letter."""
     rows = docs if training is None else docs.where(training)
-    langs = sorted(r[0] for r in rows.where(F.col(lang).isNotNull()).select(lang).distinct().collect())
+    most = MATRIX_BYTES // (4 * BINS)
+    langs = sorted(r[0] for r in rows.where(F.col(lang).isNotNull()).select(lang).distinct().limit(most + 1).collect())
     bins = BINS
-    while bins > 256 and bins * max(1, len(langs)) * 4 > MATRIX_BYTES:
-        bins //= 2
+    if bins * len(langs) * 4 > MATRIX_BYTES:
+        raise ValueError(f"{len(langs)} languages take a matrix of over {MATRIX_BYTES} bytes")
     counts = np.zeros((bins, len(langs)), np.float64)
     n_docs = np.zeros(len(langs))
     at = {name: i for i, name in enumerate(langs)}
@@ -143,7 +169,7 @@ def _predict_with(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nb = model.value
         for b in batches:
-            got = [nb.predict(x.as_py()) for x in b.column(b.schema.get_field_index("__text"))]
+            got = nb.predict(b.column(b.schema.get_field_index("__text")).to_pylist())
             keep = [i for i, n in enumerate(b.schema.names) if n != "__text"]
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in keep] + [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())],
@@ -181,7 +207,7 @@ def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.value.predict(x.as_py()) for x in b.column(b.schema.get_field_index(text))]
+            got = model.value.predict(b.column(b.schema.get_field_index(text)).to_pylist())
             yield b.filter(pa.array([name != UNKNOWN and score >= least for name, score in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

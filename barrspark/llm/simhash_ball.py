@@ -137,7 +137,8 @@ def near_edges(distinct: DataFrame, bucket_variants: int = BUCKET_VARIANTS) -> D
     """Edges (``u``, ``v``) between the distinct fingerprints ``fp`` that keep all links connected."""
     n = distinct.count()
     n_buckets = max(1, min(2**30, -(-n * (64 + len(MASKS)) // 2 // bucket_variants)))
-    dealt = distinct.select("fp").mapInArrow(_deal(n_buckets), "bucket int, fps binary, codes binary")
+    # fingerprints are small and their variants are not: as many tasks emit as there are buckets
+    dealt = distinct.select("fp").repartition(n_buckets, "fp").mapInArrow(_deal(n_buckets), "bucket int, fps binary, codes binary")
     return dealt.groupBy("bucket").applyInArrow(_meet, "u long, v long")
 
 

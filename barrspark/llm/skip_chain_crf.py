@@ -1,13 +1,15 @@
 """Personal data by a skip-chain conditional random field.
 
-Patterns find the base spans of four kinds. The field then labels the tokens of a document that hold a digit
-or ``@`` with a kind or none: neighbours share chain potentials, and distant tokens that repeat or resemble one
+Patterns find the base spans of four kinds. The field then labels the tokens of every document that hold a digit
+or ``@`` with a kind, a secret (a key or pass phrase), or none: neighbours share chain potentials, and distant tokens that repeat or resemble one
 another (same lower-cased address or local part, same last seven digits) share skip potentials. Tokens of base spans are
-observed, the others get their label from loopy message passing over the document's whole graph; a token whose
-belief in a kind is high is one more span, so that an entity found once is found in all of its places.
+observed, and so are secrets to which a name such as ``token`` or ``password`` is assigned; the others get their label from loopy
+message passing over the document's whole graph. A token whose belief in a label is high is one more span, so that an entity found
+once is found in all of its places, and one that looks like a secret without such a name is found by its form.
 
 The potentials are trained by pieces (each kind of factor by its own likelihood, which counts solve) on all documents.
-Consecutive repeats of one key train the skip factor. In a document, a repeat that is not observed is linked to
+Consecutive repeats of one key train the skip factor. A token that is like an observed one but was not matched
+itself is hidden, not none: it trains nothing, so that the field does not learn that patterns miss nothing. In a document, a repeat that is not observed is linked to
 the nearest observed ones of its key on both sides, so that it is one link away however many repeats lie between; where no
 repeat of a key is observed, all are linked to one hub of the key. Edges grow with the tokens either way.
 """
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,7 +32,17 @@ KINDS = ("email", "ip", "card", "phone")
 BELIEF = 0.9
 #: Bound on the message steps for each link of a graph's longest path; they stop as soon as messages stand still.
 STEPS = 12
-_LABELS = len(KINDS) + 1  # the last is none
+#: Messages that are computed together, a bound on memory.
+_EDGES_AT_ONCE = 20_000
+#: What is observed through its name, and the names, with a sign of assignment before the value.
+SECRET, LABELS = len(KINDS), (*KINDS, "secret", "none")
+_LABELS, _NONE = len(LABELS), len(LABELS) - 1
+_NAMED = re.compile(
+    r"""(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)["']?[\x20\t]{0,3}[=:][\x20\t]{0,3}["']?([A-Za-z0-9_+/.-]{12,})""", re.IGNORECASE
+)
+_NAME_CHARS = 32
+_HEX = re.compile(r"[0-9a-fA-F]+")
+_WORDLIKE = re.compile(r"[A-Za-z0-9_+/.-]+")
 _SHAPES = 512
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,7 +51,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = "\"'`.,;:!?()[]{}<>"
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -90,8 +103,11 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _shape(token: str) -> int:
-    """A bin for a token's form: digits, letters and marks in runs of bounded length."""
+    """A bin for a token's form: digits, letters and marks in runs of bounded length; of many runs, only the alphabet and the length."""
     runs, last, n = [], "", 0
+    if len(token) > 15 and not token.isdigit() and _WORDLIKE.fullmatch(token):
+        runs.append(f"{'hex' if _HEX.fullmatch(token) else 'mixed'}{min(len(token) // 8, 12)}")
+        token = ""
     for c in token[:64]:
         kind = "9" if "0" <= c <= "9" else "a" if c.isalpha() else c
         if kind == last:
@@ -126,18 +142,27 @@ class Graph:
         self.spans: list[tuple[int, int]] = []
         self.words: list[str] = []
         order = []
-        for m in _TOKEN.finditer(text):
+        secrets = []
+        for m in _WORD.finditer(text):
             word, a = m.group(), m.start()
-            left = len(word) - len(word.lstrip(_EDGES))
-            word = word.strip(_EDGES)
+            if not _ANY.search(word):
+                continue
+            found = len(word) > 11 and _NAMED.search(text, max(0, a - _NAME_CHARS), m.end())
+            if found and found.end(1) > a and _ANY.search(found.group(1)):
+                secrets.append(len(self.words))
+                word, a, left = found.group(1), found.start(1), 0
+            else:
+                left = len(word) - len(word.lstrip(_EDGES))
+                word = word.strip(_EDGES)
             if word:
                 self.spans.append((a + left, a + left + len(word)))
                 self.words.append(word)
                 order.append(a)
         self.seen = np.full(len(self.words), -1)
+        self.seen[secrets] = SECRET
         starts = [a for a, _ in self.spans]
         for kind, a, b in sorted(base, key=lambda s: s[1]):
-            i = int(np.searchsorted(starts, a, "right")) - 1
+            i = bisect_right(starts, a) - 1
             for k in range(max(i, 0), len(starts)):
                 if starts[k] >= b:
                     break
@@ -151,7 +176,11 @@ class Graph:
             for key in dict.fromkeys(_keys(w)):
                 places.setdefault(key, []).append(i)
         repeats, skip, self.hubs = set(), set(), []
+        #: Tokens that are not observed but like one that is.
+        self.hidden = np.zeros(len(self.words), bool)
         for at in places.values():
+            if len(at) > 1 and (self.seen[at] >= 0).any():
+                self.hidden[at] |= self.seen[at] < 0
             repeats.update(zip(at, at[1:]))
             if len(at) > 1:
                 self._link(at, skip)
@@ -190,10 +219,11 @@ def factor_counts(docs: DataFrame, text: str) -> DataFrame:
                 if not _ANY.search(body):
                     continue
                 g = Graph(body, base_spans(body))
-                label = np.where(g.seen < 0, _LABELS - 1, g.seen).tolist()
-                seen.update((_UNARY, s, y) for s, y in zip(g.shapes.tolist(), label, strict=True))
-                seen.update((_CHAIN, label[i], label[j]) for i, j in g.chain)
-                seen.update((_SKIP, *sorted((label[i], label[j]))) for i, j in g.repeats)
+                label, hidden = np.where(g.seen < 0, _NONE, g.seen).tolist(), g.hidden.tolist()
+                seen.update((_UNARY, s, y) for s, y, h in zip(g.shapes.tolist(), label, hidden, strict=True) if not h)
+                for kind, edges in ((_CHAIN, g.chain), (_SKIP, g.repeats)):
+                    pairs = ((label[i], label[j]) for i, j in edges if not (hidden[i] or hidden[j]))
+                    seen.update((kind, *(sorted(p) if kind == _SKIP else p)) for p in pairs)
         rows = [(*k, n) for k, n in seen.items()]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32()] * 3 + [pa.int64()], strict=True)], ["kind", "a", "b", "n"])
@@ -262,14 +292,16 @@ def beliefs(g: Graph, p: Potentials) -> np.ndarray:
     known = np.flatnonzero(g.seen >= 0)
     unary[known] = -50.0
     unary[known, g.seen[known]] = 0.0
-    tables = dict.fromkeys(g.chain, p.chain)
+    kinds = dict.fromkeys(g.chain, 0)  # chain, skip or both
     for e in g.skip + [(i, n + h) for h, at in enumerate(g.hubs) for i in at]:
-        tables[e] = tables[e] + p.skip if e in tables else p.skip
-    if tables:
-        edges = list(tables)
+        kinds[e] = 2 if e in kinds else 1
+    if kinds:
+        edges, both = list(kinds), (p.chain, p.skip, p.chain + p.skip)
+        tables = np.stack([*both, *[t.T for t in both]])
         src = np.array([i for i, _ in edges] + [j for _, j in edges])
         dst = np.array([j for _, j in edges] + [i for i, _ in edges])
-        table = np.stack([*tables.values(), *[t.T for t in tables.values()]])
+        table = np.array(list(kinds.values()))
+        table = np.concatenate([table, table + len(both)])
         m, half = np.zeros((len(src), _LABELS)), len(edges)
         back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
         done, step, bound = False, 0, 2 * STEPS
@@ -277,9 +309,12 @@ def beliefs(g: Graph, p: Potentials) -> np.ndarray:
             into = np.zeros((len(unary), _LABELS))
             np.add.at(into, dst, m)
             s = (unary + into)[src] - m[back]
-            new = s[:, :, None] + table
-            top = new.max(1)
-            new = top + np.log(np.exp(new - top[:, None, :]).sum(1))
+            new = np.empty_like(s)
+            for at in range(0, len(s), _EDGES_AT_ONCE):
+                c = slice(at, at + _EDGES_AT_ONCE)
+                x = s[c, :, None] + tables[table[c]]
+                top = x.max(1)
+                new[c] = top + np.log(np.exp(x - top[:, None, :]).sum(1))
             new -= new.max(1, keepdims=True)
             done = np.abs(new - m).max() < 1e-4
             m = 0.5 * m + 0.5 * new
@@ -293,30 +328,30 @@ def beliefs(g: Graph, p: Potentials) -> np.ndarray:
 
 def find_spans(text: str, p: Potentials) -> tuple[list[Span], list[Span]]:
     """Base spans, and the spans that the field adds, none of which overlaps a base one."""
+    if not _ANY.search(text):
+        return [], []
     base = base_spans(text)
-    if not base:
-        return base, []  # nothing observed that another token could share
     g = Graph(text, base)
     got = beliefs(g, p)
-    got[g.seen >= 0] = 0
+    got[(g.seen >= 0) & (g.seen < SECRET)] = 0
     best = got[:, :-1].argmax(1)
     more = [(int(best[i]), *g.spans[i]) for i in np.flatnonzero(got[np.arange(len(got)), best] >= BELIEF)]
     return base, more
 
 
 def _joined(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
+    return ",".join(f"{LABELS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
 def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added``, one row per input row.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans``, one row per input row.
 
-    Null texts are empty; a document without spans has empty ``spans``. Positions count code points, ends are
+    ``n_added`` counts the spans beside the base ones, ``n_spans`` all. Null texts are empty; a document without spans has empty ``spans``. Positions count code points, ends are
     exclusive. Repeated rows are repeated in the result; ids may be null; other columns are not read.
     """
     spark = docs.sparkSession
     potentials = spark.sparkContext.broadcast(train(docs, text))
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long"
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string, n_added long, n_spans long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,8 +360,8 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
                 base, more = find_spans(x.as_py() or "", potentials.value)
                 n = Counter(k for k, _, _ in base)
                 sha = hashlib.sha256(_joined(base).encode()).hexdigest()
-                rows.append((*(n[k] for k in range(len(KINDS))), sha, _joined(base + more), len(more)))
-            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+                rows.append((*(n[k] for k in range(len(KINDS))), sha, _joined(base + more), len(more), len(base) + len(more)))
+            types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
             columns = zip(*rows, strict=True) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], [c.split()[0] for c in schema.split(", ")])
 
@@ -344,7 +379,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         out, at = [], 0
         for k, a, e in sorted(base + more, key=lambda s: (s[1], -s[2])):
             if a >= at:
-                out += (body[at:a], f"[{KINDS[k]}]")
+                out += (body[at:a], f"[{LABELS[k]}]")
             at = max(at, e)
         return "".join([*out, body[at:]])
 

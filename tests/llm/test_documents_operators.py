@@ -157,6 +157,48 @@ def test_language_identification(spark):
     assert not kept & {500, 501, 502} and set(range(120)) <= kept
 
 
+def plain_bins(text):
+    """Bins of the n-grams of a short text, one by one."""
+    folded, out = [32], []
+    for ch in text:
+        x = (ord(ch.lower()) if len(ch.lower()) == 1 else ord(ch)) if ch.isalpha() else 32
+        if x != 32 or folded[-1] != 32:
+            folded.append(x)
+    mix = [int(m) for m in langid_bayes._MULTIPLIERS]
+    for n in (1, 2, 3):
+        for at in range(len(folded) - n + 1):
+            h = n
+            for k in range(n):
+                h = (h ^ folded[at + k]) * mix[k] % 2**32
+                h ^= h >> 15
+            if n > 1 or folded[at] != 32:
+                out.append((h * mix[0] % 2**32) >> 17)
+    return out
+
+
+@pytest.mark.parametrize("entries", [1 << 17, 50])
+def test_language_scores_equal_a_plain_multinomial_model(spark, monkeypatch, entries):
+    monkeypatch.setattr(langid_bayes, "_ENTRIES", entries)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(150)
+    data = [(r.doc_id, (r.text or "")[:400], r.lang) for r in docs.collect()]
+    train = [(plain_bins(t), la) for i, t, la in data if la is not None and any(map(str.isalpha, t))]
+    langs, bins = sorted({la for _, la in train}), langid_bayes.BINS
+    seen = {la: Counter(b for x, g in train if g == la for b in x) for la in langs}
+    prior = np.log([sum(g == la for _, g in train) / len(train) for la in langs])
+    logp = lambda b, la: np.log((seen[la][b] + 0.5) / (sum(seen[la].values()) + 0.5 * bins))
+    model = langid_bayes.train(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert model.langs == langs
+    texts = [t for _, t, _ in data] + [None, "", "12 !"]
+    for t, (pred, score) in zip(texts, model.predict(texts), strict=True):
+        if not any(map(str.isalpha, t or "")):
+            assert (pred, score) == ("und", 0.0)
+            continue
+        total = prior + [sum(logp(b, la) for b in plain_bins(t)) for la in langs]
+        p = np.exp(total - total.max())
+        assert pred == langs[int(total.argmax())] and score == pytest.approx(p.max() / p.sum(), abs=1e-3)
+    assert langid_bayes.NaiveBayes([], np.zeros((bins, 0), np.float32), np.zeros(0)).predict(["a"]) == [("und", 0.0)]
+
+
 def test_mixture(spark):
     data = [(i, prose(i % 50, 20 + i % 9), "en", "big") for i in range(300)] + [(1000 + i, prose(i, 30), "en", f"s{i % 4}") for i in range(40)]
     data += [(2000, None, "en", "void"), (2001, "a b c", "en", None), (2001, "a b c", "en", None)]
@@ -336,8 +378,8 @@ def test_loopy_messages_equal_enumeration():
     p = skip_chain_crf.Potentials([(0, int(s), k % 5, 3) for k, s in enumerate(g.shapes)] + [(1, 3, 4, 5), (2, 3, 3, 9)])
     n, edges = len(g.words), [(i, j, p.chain) for i, j in g.chain] + [(i, j, p.skip) for i, j in g.skip]
     assert len(edges) < n
-    total = np.zeros((n, 5))
-    for state in np.ndindex(*[5] * n):
+    total = np.zeros((n, skip_chain_crf._LABELS))
+    for state in np.ndindex(*[skip_chain_crf._LABELS] * n):
         if any(s >= 0 and s != y for s, y in zip(g.seen, state)):
             continue
         w = np.exp(sum(p.unary[g.shapes[i], state[i]] for i in range(n) if g.seen[i] < 0) + sum(t[state[i], state[j]] for i, j, t in edges))
@@ -352,7 +394,8 @@ def test_loopy_messages_equal_enumeration():
 
 def test_crf_reaches_every_repeat():
     """However many repeats lie between, each has the belief of a lone repeat of the observed span; so have both ends of a hub."""
-    p = skip_chain_crf.Potentials([(0, s, 4, 2) for s in range(512)] + [(0, s, 3, 1) for s in range(512)] + [(2, 3, 3, 90), (2, 3, 4, 5), (2, 4, 4, 900)])
+    none = skip_chain_crf._NONE
+    p = skip_chain_crf.Potentials([(0, s, none, 2) for s in range(512)] + [(0, s, 3, 1) for s in range(512)] + [(2, 3, 3, 90), (2, 3, none, 5), (2, none, none, 900)])
     found = lambda n: skip_chain_crf.find_spans("+1 (988) 555-2485 is it" + ", or ever so often 9885552485" * n, p)
     assert len(found(1)[1]) == 1
     for n in (5, 40, 400):
@@ -362,7 +405,7 @@ def test_crf_reaches_every_repeat():
     assert not g.skip and [len(at) for at in g.hubs] == [30]
     even = skip_chain_crf.beliefs(g, p)
     g.shapes = g.shapes.copy()
-    p.unary[511, :] = np.log([0.001, 0.001, 0.001, 0.996, 0.001])
+    p.unary[511, :] = np.log([0.001, 0.001, 0.001, 0.995, 0.001, 0.001])
     g.shapes[0] = 511
     told = skip_chain_crf.beliefs(g, p)
     assert (told[1:, 3] > even[1:, 3]).all() and np.ptp(told[1:, 3]) < 1e-3
@@ -374,11 +417,41 @@ def test_crf_messages_stand_still_on_long_chains():
     g = skip_chain_crf.Graph("+1 (988) 555-2485" + " 7" * n, [(3, 0, 17)])
     p = skip_chain_crf.Potentials([])
     p.unary[:] = 0.0
-    p.chain = np.log(np.eye(5) * 0.99 + 0.002)
+    p.chain = np.log(np.eye(skip_chain_crf._LABELS) * 0.99 + 0.002)
     want = np.linalg.matrix_power(np.exp(p.chain), n)[3]
     np.testing.assert_allclose(skip_chain_crf.beliefs(g, p)[-1], want / want.sum(), atol=1e-3)
 
 
+def test_crf_takes_long_texts_without_spaces_in_linear_time():
+    import time
+
+    p = skip_chain_crf.Potentials([])
+    for text in ("7" * 1_000_000, "a1@" * 300_000, "1." * 500_000, "+1-" * 300_000, "9" + "x" * 1_000_000):
+        began = time.process_time()
+        base, _ = skip_chain_crf.find_spans(text, p)
+        assert time.process_time() - began < 20
+    assert skip_chain_crf.find_spans("x" * 1_000_000 + " a@b.co " + "1" * 1_000_000, p)[0] == [(0, 1_000_001, 1_000_007)]
+
+
+def test_crf_finds_secrets_by_name_repeat_and_form(spark):
+    import random
+
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    keys = [key() for _ in range(42)]
+    data = [(i, f'{prose(i, 9)} token = "{keys[i]}" {prose(i, 5)} version {i}.0 of {i}', "en", "s") for i in range(40)]
+    data += [(50, f"here {keys[40]} stands alone", "en", "s"), (51, "in 1999 there were 12 of 30", "en", "s")]
+    data += [(52, f"password: abc9_{'x' * 12} then abc9_{'x' * 12} again", "en", "s")]
+    got = {r.doc_id: r for r in skip_chain_crf.personal_data(rows(spark, data)).collect()}
+    for i, t, *_ in data[:40]:
+        at = t.index(keys[i])
+        assert got[i].spans == f"secret:{at}:{at + 40}" and got[i].n_added == got[i].n_spans == 1
+    assert got[50].spans == "secret:5:45" and got[51].spans == ""
+    assert got[52].n_added == 2
+    clean = {r.doc_id: r.text for r in skip_chain_crf.redact(rows(spark, data)).collect()}
+    assert clean[50] == "here [secret] stands alone" and clean[51] == data[41][1]
+
+
 def test_log_bilinear_counts_and_normalisation(spark, monkeypatch):
     monkeypatch.setattr(log_bilinear, "OWN", 12)
     monkeypatch.setattr(log_bilinear, "MAX_WORDS", 25)
