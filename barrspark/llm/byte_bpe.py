@@ -27,22 +27,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barrspark.llm.common import discard, give_back, materialize
+from barrspark.llm.common import discard, give_back, materialize, small_batches
 from barrspark.llm.stretches import BLOCK_BYTES, Numbers, blocks, distinct, texts_of
 
 #: Bounds on the broadcast dictionary.
-MAX_PIECES, MAX_PIECE_BYTES = 700_000, 32
+MAX_PIECES, MAX_PIECE_BYTES = 400_000, 32
 #: Pieces above this many bytes are merged with a heap.
 FOLD_BYTES = 256
 #: Ids take so many bits; the literal rank map has ``_BUCKETS`` maps, a power of two.
 _BITS, _BUCKETS = 20, 1 << 15
 _ID = (1 << _BITS) - 1
 #: Bytes of the documents whose distinct pieces are folded together; a longer document is a group of its own.
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 6_000_000
 #: Words of a row that is folded, a bound on its size.
-_ROW_WORDS = 20_000
+_ROW_WORDS = 10_000
 #: Stretches that a task counts at most before it passes the counts on.
-_COUNTED = 400_000
+_COUNTED = 200_000
 #: A single mark after letters is a piece of its own.
 _MARKS = frozenset(".,;:!?")
 
@@ -201,7 +201,9 @@ def piece_counts(texts: DataFrame, pattern: str) -> DataFrame:
                 for p in pieces_of(stretch.decode(), find):
                     pieces[p] = pieces.get(p, 0) + n
             columns = [pa.array([p.encode() for p in pieces], pa.binary()), pa.array(list(pieces.values()), pa.int64())]
+            del pieces
             yield pa.RecordBatch.from_arrays(columns, ["piece", "n"])
+            give_back()
 
     stretches = texts.mapInArrow(count, "stretch binary, n long").groupBy("stretch").agg(F.sum("n").alias("n"))
     return stretches.mapInArrow(cut, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
@@ -392,6 +394,7 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | Non
 def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, doc_id: str, max_pieces: int) -> DataFrame:
     """Groups of documents, with the ids that the fold gives their other pieces."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     table = rank_literal(spark, ranks)
     counts = materialize(piece_counts(texts.select("text"), pattern), "pieces")

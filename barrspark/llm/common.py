@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch of rows that goes to Python or comes from it.
+BATCH_BYTES = 8 << 20
 #: Bytes that separate words: space and \x09-\x0D.
 SPACE_BYTES = re.compile(rb"[\x20\x09-\x0D]")
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -65,6 +67,17 @@ def discard(df: DataFrame) -> None:
         hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches that go to Python by bytes, in the session's setting, as texts have no bounded length.
+
+    A batch is held by the JVM and by Python, several times; a smaller bound in plain bytes stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name).lower().rstrip("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as decimal text, modulo ``modulus``; null ids give null."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)).cast("int")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barrspark.llm.common import crc_bucket
+from barrspark.llm.common import crc_bucket, give_back, small_batches
 
 ORDERS = (1, 2, 3)
 BINS = 1 << 15
@@ -27,6 +27,8 @@ UNKNOWN = "und"
 _SEGMENT = 1 << 20
 #: Entries of the sparse matrix that are multiplied together, and n-grams from which they are counted by bins.
 _ENTRIES, _DENSE = 1 << 17, 1 << 9
+#: Texts that are scored together.
+_TEXTS = 256
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 
 
@@ -143,6 +145,7 @@ class NaiveBayes:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", training: Column | None = None) -> NaiveBayes:
     """The model from all rows of ``docs`` that ``training`` allows and that have a language and a letter."""
+    small_batches(docs.sparkSession)
     rows = docs if training is None else docs.where(training)
     most = MATRIX_BYTES // (4 * BINS)
     langs = sorted(r[0] for r in rows.where(F.col(lang).isNotNull()).select(lang).distinct().limit(most + 1).collect())
@@ -165,16 +168,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", training: Col
     return NaiveBayes(langs, table.astype(np.float32), np.log(n_docs / max(1.0, n_docs.sum())))
 
 
+def _predictions(nb: NaiveBayes, texts: pa.Array) -> Iterator[tuple[str, float]]:
+    """Predictions of a column, so many texts at a time that few are Python strings at once."""
+    for at in range(0, len(texts), _TEXTS):
+        yield from nb.predict(texts.slice(at, _TEXTS).to_pylist())
+
+
 def _predict_with(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nb = model.value
         for b in batches:
-            got = nb.predict(b.column(b.schema.get_field_index("__text")).to_pylist())
+            got = list(_predictions(nb, b.column(b.schema.get_field_index("__text"))))
             keep = [i for i, n in enumerate(b.schema.names) if n != "__text"]
             yield pa.RecordBatch.from_arrays(
                 [b.column(i) for i in keep] + [pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())],
                 [b.schema.names[i] for i in keep] + ["lang_pred", "score"],
             )
+            give_back()
 
     return run
 
@@ -207,7 +217,12 @@ def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = model.value.predict(b.column(b.schema.get_field_index(text)).to_pylist())
-            yield b.filter(pa.array([name != UNKNOWN and score >= least for name, score in got], pa.bool_()))
+            got = _predictions(model.value, b.column(b.schema.get_field_index(text)))
+            keep = pa.array([name != UNKNOWN and score >= least for name, score in got], pa.bool_())
+            # slices, so that the kept rows are not copied all at once
+            for at in range(0, b.num_rows, _TEXTS):
+                yield b.slice(at, _TEXTS).filter(keep.slice(at, _TEXTS))
+            del b
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)

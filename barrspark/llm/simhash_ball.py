@@ -25,14 +25,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barrspark.llm.common import materialize, numbered_rows, word_chunks
+from barrspark.llm.common import give_back, materialize, numbered_rows, small_batches, word_chunks
 from barrspark.llm.components import connected_components
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 #: Variants that one bucket should hold, a bound on the memory of a task.
-BUCKET_VARIANTS = 1_500_000
+BUCKET_VARIANTS = 400_000
 _ONE = np.uint64(1) << np.arange(64, dtype=np.uint64)
 _HALF = [(i, j) for h in (0, 32) for i in range(h, h + 32) for j in range(i + 1, h + 32)]
 _TWO = np.array([(1 << i) | (1 << j) for i, j in _HALF], dtype=np.uint64)
@@ -69,6 +69,7 @@ def simhash(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, text: str, doc_id: str, width: int = SHINGLE, seed: int = SEED, row: str | None = None) -> DataFrame:
     """``doc_id, fp`` (a signed long) of every row; with ``row``, a column of row numbers, also ``row``."""
+    small_batches(docs.sparkSession)
     more = [F.col(row).alias("row")] if row else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,12 +78,14 @@ def fingerprints(docs: DataFrame, text: str, doc_id: str, width: int = SHINGLE,
             for i, x in enumerate(b.column(1)):
                 out[i] = simhash(x.as_py(), width, seed)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64)), *b.columns[2:]], ["doc_id", "fp", "row"][: b.num_columns])
+            del b
+            give_back()
 
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), *more)
     return read.mapInArrow(run, "doc_id long, fp long" + ", row long" * len(more))
 
 
-def _deal(n_buckets: int, step: int = 1024):
+def _deal(n_buckets: int, step: int = 512):
     """Emits every variant: rows of a bucket with packed fingerprints and mask codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +133,8 @@ def _meet(table: pa.Table) -> pa.Table:
     join = lambda name, kind: np.frombuffer(b"".join(chain(x.as_py() for x in table[name])), kind)
     fp, code = join("fps", np.uint64), join("codes", np.uint16)
     u, v = _edges_of(fp, code) if len(fp) else (fp, fp)
+    del fp, code
+    give_back()
     return pa.table({"u": u.view(np.int64), "v": v.view(np.int64)})
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 
 #: Bytes of texts that are cut at a time; a longer text is cut alone.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Stretches up to so many bytes are compared as three numbers.
 _SHORT, _WORD = 24, 8
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(_WORD + 1)], np.uint64)
