@@ -35,6 +35,8 @@ def components(alleles: DataFrame, edges: DataFrame, max_rounds: int = 200) -> D
         labels = after.select("v", F.col("new").alias("label"))
         if done:
             break
+    else:
+        raise RuntimeError(f"the components did not settle in {max_rounds} rounds")
     return names.join(labels, "v").select("pos", "allele", F.col("label").alias("component"))
 
 

@@ -63,10 +63,10 @@ def read_evidence(
 
 
 def _capped(evidence: DataFrame, deep: DataFrame, most: int) -> DataFrame:
-    """At sites over the depth limit, which is part of counting, the reads first by identifier."""
+    """At sites over the depth limit, which is part of counting, the reads first by identifier; a read met more than once there is ordered by its cell, gene and class."""
     from pyspark.sql import Window as W
 
-    order = W.partitionBy("contig", "position", "refAllele", "altAllele").orderBy("read_id")
+    order = W.partitionBy("contig", "position", "refAllele", "altAllele").orderBy("read_id", "cell_barcode", "gene", "allele_class")
     over = evidence.join(deep.drop("n"), ["contig", "position"], "left_semi")
     under = evidence.join(deep.drop("n"), ["contig", "position"], "left_anti")
     return under.unionByName(over.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= most).drop("_k"))

@@ -45,9 +45,24 @@ COUNTS = f"""{EV}, counts AS (
 SUMS = f"{COUNTS}, sums AS (SELECT position AS pos, cell_barcode AS cell, CAST(sum(refCount) AS BIGINT) AS r, CAST(sum(altCount) AS BIGINT) AS a FROM counts GROUP BY ALL)"
 
 
-@query(f"WITH {EV} SELECT * FROM ev")
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS read_id, 'C' || o_custkey AS cell_barcode, 'chrX' AS contig, l_partkey AS position, CASE WHEN o_custkey % 3 = 0 THEN '.' ELSE o_orderpriority END AS gene,
+  'A' AS refAllele, 'G' AS altAllele, CASE WHEN l_linenumber IN (4, 5) THEN 'other' WHEN l_returnflag = 'A' THEN 'ref' WHEN l_returnflag = 'N' THEN 'alt' ELSE 'other' END AS allele_class
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+WHERE o_orderstatus <> 'P' AND o_custkey % 7 <> 0 AND p_size > 10 AND l_linenumber <> 6 AND (l_linenumber = 4 OR CAST(l_quantity AS INT) >= 10)""")
 def read_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.evidence(spark, sf_dir)
+    """Orders as reads that cover a site with each line: lines 4 are deleted, 5 next to an indel, 6 skip the reference."""
+    line = F.struct("l_linenumber", "l_partkey", "l_returnflag", F.col("l_quantity").cast("int").alias("q"))
+    lines = P.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    base = lambda x: F.when(x["l_returnflag"] == "A", "a").when(x["l_returnflag"] == "N", "G").otherwise("T")
+    kind = lambda x: F.when(x["l_linenumber"] == 4, "del").when(x["l_linenumber"] == 5, "indel_anchor").when(x["l_linenumber"] == 6, "refskip").otherwise("base")
+    aligned = lambda x, i: F.struct(F.when(x["l_linenumber"] != 4, i).alias("qpos"), (x["l_partkey"] - 1).alias("rpos"), kind(x).alias("kind"))
+    reads = P.table(spark, sf_dir, "orders").join(lines, "o_orderkey").select(
+        F.col("o_orderkey").cast("string").alias("read_id"), F.lit("chrX").alias("contig"), F.when(F.col("o_custkey") % 7 == 0, 0x100).otherwise(0).alias("flags"),
+        F.when(F.col("o_orderstatus") == "P", 10).otherwise(60).alias("mapq"), F.array_join(F.transform("lines", base), "").alias("seq"), F.transform("lines", lambda x: x["q"]).alias("quals"),
+        F.transform("lines", aligned).alias("aligned"), F.concat(F.lit("C"), "o_custkey").alias("cb"), F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderpriority")).alias("gn"),
+    )
+    sites = P.table(spark, sf_dir, "part").where("p_size > 10").select(F.lit("chrX").alias("contig"), F.col("p_partkey").alias("position"), F.lit("A").alias("refAllele"), F.lit("G").alias("altAllele"))
+    return counting.read_evidence(reads, sites)
 
 
 @query(f"WITH {COUNTS} SELECT * FROM counts")
@@ -80,6 +95,13 @@ def pileup_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.read_evidence(_reads(spark, sf_dir), counting.snp_sites(variants, het_only=True))
 
 
+@query(f"{_BASES} QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY read_id, cell_barcode, gene, allele_class) <= 12")
+def pileup_depth_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reads first by identifier, up to 12 at a site, as the depth limit is part of counting."""
+    sites = P.table(spark, sf_dir, "part").select(F.lit("chrX").alias("contig"), F.col("p_partkey").alias("position"), F.lit("A").alias("refAllele"), F.lit("G").alias("altAllele"))
+    return counting.read_evidence(_reads(spark, sf_dir), sites, max_depth=12)
+
+
 # ---- genes of positions, conflicts, filters ---------------------------------------------------------------------------
 
 _POS = """pos AS (
@@ -273,6 +295,54 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(names, edges)
 
 
+_STARS = """al AS (SELECT p_partkey AS pos, p_size, unnest(['ref', 'alt']) AS allele FROM part),
+k AS (SELECT pos, allele, pos || '_' || allele AS name, CASE WHEN allele = 'alt' AND pos % 3 = 0 THEN pos || '_' || allele WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE p_size || allele END AS grp FROM al),
+comp AS (SELECT pos, allele, min(name) OVER (PARTITION BY grp) AS component FROM k)"""
+
+
+def _stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of parts as SNPs: alleles hang on the first part of their size, even sizes are whole, every third alternative is alone."""
+    from barrspark.operators.components import components
+
+    allele = F.explode(F.array(F.lit("ref"), F.lit("alt"))).alias("allele")
+    names = P.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("pos"), "p_size", allele)
+    tied = names.where("allele = 'ref' or pos % 3 <> 0")
+    hubs = tied.groupBy("p_size", "allele").agg(F.min("pos").alias("hub"))
+    edge = lambda a, b, c, d: [F.col(a).alias("src_pos"), F.col(b).alias("src_allele"), F.col(c).alias("dst_pos"), F.col(d).alias("dst_allele"), F.lit(1.0).alias("weight")]
+    spokes = tied.join(hubs, ["p_size", "allele"]).where("pos <> hub").select(edge("hub", "allele", "pos", "allele"))
+    both = hubs.where("p_size % 2 = 0").groupBy("p_size").agg(F.min_by("hub", F.col("allele") == "alt").alias("r"), F.max_by("hub", F.col("allele") == "alt").alias("a"), F.count("*").alias("n"))
+    joints = both.where("n = 2").withColumn("ref", F.lit("ref")).withColumn("alt", F.lit("alt")).select(edge("r", "ref", "a", "alt"))
+    return components(names.select("pos", "allele"), spokes.unionByName(joints))
+
+
+@query(f"WITH {_STARS} SELECT * FROM comp")
+def allele_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stars(spark, sf_dir)
+
+
+@query(f"""WITH {_STARS}, big AS (SELECT component FROM comp GROUP BY 1 ORDER BY count(*) DESC, component LIMIT 1),
+s AS (SELECT pos AS POS, max(component) FILTER (allele = 'ref') AS comp_ref, max(component) FILTER (allele = 'alt') AS comp_alt FROM comp GROUP BY pos)
+SELECT *, CASE WHEN comp_ref <> comp_alt THEN 'split' WHEN comp_ref = (SELECT component FROM big) THEN 'lcc' ELSE 'non_lcc' END AS status FROM s""")
+def graph_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barrspark.operators.components import connectivity
+
+    return connectivity(_stars(spark, sf_dir))
+
+
+@query("""WITH v AS (SELECT DISTINCT l_partkey AS pos, unnest(['ref', 'alt']) AS allele FROM lineitem WHERE l_partkey % 50 <> 7)
+SELECT pos, allele, CAST((pos % 2 <> (SELECT min(l_partkey) % 2 FROM lineitem)) <> (allele = 'alt') AS INT) AS side FROM v""")
+def partition_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two planted sides: even and odd orders as cells see opposite alleles but for a few lines; SNPs of which one side sees both alleles go."""
+    from barrspark.operators.partition import remove_unparted
+
+    lines = P.table(spark, sf_dir, "lineitem").where("l_partkey % 50 <> 7 or l_orderkey % 2 = 1")
+    flipped = (F.col("l_linenumber") == 1) & (F.col("l_quantity") >= 49)
+    planted = ((F.col("l_partkey") + F.col("l_orderkey")) % 2 == 0) != flipped
+    is_ref = F.when(F.col("l_partkey") % 50 == 7, F.col("l_linenumber") % 2 == 0).otherwise(planted)
+    seen = lines.select(F.col("l_orderkey").cast("string").alias("cell_barcode"), F.col("l_partkey").cast("long").alias("pos"), F.when(is_ref, "ref").otherwise("alt").alias("allele"))
+    return remove_unparted(seen.groupBy("cell_barcode", "pos", "allele").agg(F.count("*").alias("n")))[0]
+
+
 # ---- activity of haplotypes -------------------------------------------------------------------------------------------------
 
 ACTIVE = f"""{SUMS},
@@ -370,6 +440,24 @@ def haplotype_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.haplotype_table(std, phased, alleles.best_gene(std), alleles.snp_totals(std))
 
 
+@query(f"""WITH t AS ({ORACLE_SQL['haplotype_table']})
+SELECT CONTIG, POS, concat_ws(chr(9), CONTIG, POS, '.', REF, ALT, '.', 'PASS', 'GENE=' || Gene || ';STAGE=' || Stage || ';STAGE2_METHOD=' || Stage2_method || ';TOTAL_COVERAGE=' || Total_coverage,
+  'GT:PS', CASE WHEN H1 = REF THEN '0|1:0' ELSE '1|0:0' END) AS line FROM t""")
+def phased_vcf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.vcf_lines(haplotype_table(spark, sf_dir))
+
+
+_KNOWN = ["(partition_separation_w + 1) / 2", "2 * abs(H1_wins_frac - 0.5)", "abs(xa_xi_margin)"]
+
+
+@query(f"""WITH g AS ({ORACLE_SQL['partition_metrics']}), c AS ({ORACLE_SQL['haplotype_consistency']}), f AS ({ORACLE_SQL['coverage_features']}), x AS ({ORACLE_SQL['xa_xi_reads']})
+SELECT *, round(list_avg(list_filter([{', '.join(_KNOWN)}], lambda v: v IS NOT NULL)), 9) AS confidence_basic
+FROM g FULL JOIN c USING (POS) FULL JOIN f USING (POS) FULL JOIN x USING (POS)""")
+def validation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [f(spark, sf_dir) for f in (partition_metrics, haplotype_consistency, coverage_features, xa_xi_reads)]
+    return validation.validation_matrix(*parts).withColumn("confidence_basic", F.round("confidence_basic", 9))
+
+
 # ---- tags, routes, matrices -----------------------------------------------------------------------------------------------------
 
 _TAGS = """calls AS (SELECT 'C' || s_suppkey AS cb, CASE s_suppkey % 4 WHEN 0 THEN 'X1' WHEN 1 THEN 'X2' ELSE 'X1/X2' END AS active FROM supplier WHERE s_acctbal > 0),
@@ -444,6 +532,19 @@ def matrix_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrices.on_scaffold(counts, order, barcodes)
 
 
+@query("""SELECT p_brand AS feature, 'C' || l_suppkey AS cell_barcode, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey
+WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size > 48) GROUP BY ALL""")
+def transcript_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as transcript tags, which are names of the annotation and none of its identifiers."""
+    part = P.table(spark, sf_dir, "part")
+    lines = P.table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    reads = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("read_id"), F.col("l_orderkey").alias("ordinal"), F.lit(0).alias("flags"), F.concat(F.lit("C"), "l_suppkey").alias("cb"), F.col("p_brand").alias("tr"))
+    ids = part.select(F.concat(F.lit("T"), "p_partkey").alias("feature"), F.col("p_partkey").cast("long").alias("ordinal"))
+    names = part.where("p_size > 48").select(F.col("p_brand").alias("feature"), F.col("p_partkey").cast("long").alias("ordinal"))
+    _, rows = matrices.transcript_rows(reads, ids, names)
+    return matrices.feature_counts(matrices.matrix_reads(reads, feature="tr"), rows)
+
+
 _VALUES = """vals AS (SELECT 'C' || l_suppkey AS cell, p_brand || '/' || p_size AS gene_name, count(*) FILTER (l_returnflag = 'N' AND l_quantity > 40) AS xi, count(*) FILTER (l_returnflag = 'A') AS xa,
   count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
 
