@@ -38,7 +38,7 @@ FOLD_BYTES = 256
 _BITS, _BUCKETS = 20, 1 << 15
 _ID = (1 << _BITS) - 1
 #: Bytes of the documents whose distinct pieces are folded together; a longer document is a group of its own.
-GROUP_BYTES = 6_000_000
+GROUP_BYTES = 3_000_000
 #: Words of a row that is folded, a bound on its size.
 _ROW_WORDS = 10_000
 #: Stretches that a task counts at most before it passes the counts on.
