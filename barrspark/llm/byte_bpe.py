@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -301,8 +302,9 @@ class Dictionary:
 
 
 #: Rows of a group of documents: words to fold, and in its last row: ids, numbers of stretches, pieces by stretch and in all,
-#: the place of each piece among first the given, then the folded words, lengths and ids of the given words.
-_GROUP = "docs array<bigint>, numbers array<binary>, per binary, pieces binary, slots binary, sizes binary, given binary, words array<array<int>>"
+#: the place of each piece among first the given, then the folded words, lengths and ids of the given words. The last two
+#: columns are the group's number and the row's number in it.
+_GROUP = "docs array<bigint>, numbers array<binary>, per binary, pieces binary, slots binary, sizes binary, given binary, words array<array<int>>, grp long, part long"
 
 
 def _group(pattern: str, known, ranks, size: int, row_words: int):
@@ -312,15 +314,18 @@ def _group(pattern: str, known, ranks, size: int, row_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, by_rank = regex.compile(pattern).findall, ranks.value
         single, table = _single_bytes(by_rank), known.value
+        group = itertools.count(TaskContext.get().partitionId() << 33)
 
         def rows(others: list[bytes], last: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+            mine = next(group)
             for at in range(0, max(1, len(others)), row_words):
                 part = others[at : at + row_words]
                 letters = pa.array(single[np.frombuffer(b"".join(part), np.uint8)], pa.int32())
                 inner = pa.ListArray.from_arrays(pa.array(_offsets([len(x) for x in part]), pa.int32()), letters)
                 words = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), inner)
                 ends = at + row_words >= len(others)
-                yield pa.RecordBatch.from_arrays([*(x if ends else pa.nulls(1, x.type) for x in last), words], names)
+                place = [pa.array([x], pa.int64()) for x in (mine, at)]
+                yield pa.RecordBatch.from_arrays([*(x if ends else pa.nulls(1, x.type) for x in last), words, *place], names)
 
         def flush(docs: list, numbers: list[bytes], stretches: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
             pieces: dict[str, int] = {}
@@ -391,8 +396,12 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | Non
         give_back()
 
 
-def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, doc_id: str, max_pieces: int) -> DataFrame:
-    """Groups of documents, with the ids that the fold gives their other pieces."""
+def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, doc_id: str, max_pieces: int, apart: bool) -> DataFrame:
+    """Groups of documents, with the ids that the fold gives their other pieces.
+
+    Rows of a group follow each other. ``apart`` shuffles the groups, so that the step after this one runs in a stage, and in
+    Python workers, of its own.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -409,7 +418,8 @@ def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, d
     discard(found)
     give_back()
     by_rank = spark.sparkContext.broadcast(ranks)
-    return _with_ids(texts.mapInArrow(_group(pattern, known, by_rank, GROUP_BYTES, _ROW_WORDS), _GROUP), table)
+    groups = _with_ids(texts.mapInArrow(_group(pattern, known, by_rank, GROUP_BYTES, _ROW_WORDS), _GROUP), table)
+    return groups.repartition("grp").sortWithinPartitions("grp", "part") if apart else groups
 
 
 def _some(items: Iterator, most: int = 256) -> Iterator[list]:
@@ -418,12 +428,19 @@ def _some(items: Iterator, most: int = 256) -> Iterator[list]:
 
 
 def encode(
-    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", doc_id: str = "doc_id", max_pieces: int = MAX_PIECES
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    max_pieces: int = MAX_PIECES,
+    apart: bool = False,
 ) -> DataFrame:
     """``doc_id`` and ``ids``: little-endian unsigned 32-bit ids as one binary, for every row.
 
     Null and empty texts have no ids. Repeated rows are repeated in the result; ids may be null; other columns are
-    not read. ``ranks`` must hold all single bytes, as byte-level vocabularies do.
+    not read. ``ranks`` must hold all single bytes, as byte-level vocabularies do. With ``apart``, texts are cut and put
+    together in two stages with a shuffle of about the input's size between them, which takes half as many Python workers at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,7 +448,7 @@ def encode(
             columns = [pa.array([i for i, _ in rows], pa.int64()), pa.array([x.tobytes() for _, x in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids"])
 
-    return _folded(docs, ranks, pattern, text, doc_id, max_pieces).mapInArrow(run, "doc_id long, ids binary")
+    return _folded(docs, ranks, pattern, text, doc_id, max_pieces, apart).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode_bytes(ids: bytes, pieces: list[bytes]) -> bytes:
@@ -466,6 +483,7 @@ def encode_and_check(
     doc_id: str = "doc_id",
     keep_ids: bool = False,
     max_pieces: int = MAX_PIECES,
+    apart: bool = False,
 ) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``, and ``ids`` if kept: :func:`encode` and :func:`decode` in one pass.
 
@@ -483,4 +501,4 @@ def encode_and_check(
             columns += [pa.array(ids, pa.binary())] * keep_ids
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
-    return _folded(docs, ranks, pattern, text, doc_id, max_pieces).mapInArrow(run, schema)
+    return _folded(docs, ranks, pattern, text, doc_id, max_pieces, apart).mapInArrow(run, schema)

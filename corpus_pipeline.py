@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document's tokens, with the digests of ids and decoded bytes."""
     ranks, pattern = bpe_vocabulary()
-    return byte_bpe.encode_and_check(docs, ranks, pattern, keep_ids=True)
+    return byte_bpe.encode_and_check(docs, ranks, pattern, keep_ids=True, apart=True)
 
 
 STAGES = [

@@ -240,16 +240,18 @@ def test_bpe_matches_the_library(spark):
     data = [None, "", " ", "  \n ", "it's  we'll \n\n x", "a b 　 c\x1c d\x85e", "日本語 テスト 1234567 ½ Ⅷ", "aaaaaaaaa" * 200, "ab" * 5000, "<|endoftext|> x", "​ zero﻿", "x" * 300 + " y" * 3]
     data += [prose(i, 80).title() + "  \t" + "é" * i for i in range(20)]
     df = rows(spark, [(i, t, "en", "s") for i, t in enumerate(data)] + [(3, "  \n ", "en", "s")])
-    assert byte_bpe.encode(df.limit(0), ranks, P.PATTERN).count() == 0
-    for most in (0, 40, 1 << 18):
-        enc_df = byte_bpe.encode(df, ranks, P.PATTERN, max_pieces=most)
+    for apart in (False, True):
+        assert byte_bpe.encode(df.limit(0), ranks, P.PATTERN, apart=apart).count() == 0
+    for most, apart in ((0, False), (40, True), (1 << 18, False)):
+        enc_df = byte_bpe.encode(df, ranks, P.PATTERN, max_pieces=most, apart=apart)
         for r in byte_bpe.decode(enc_df, ranks).collect():
             text = data[r.doc_id] or ""
             assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(text), text
             assert bytes(r.decoded) == text.encode()
 
 
-def test_bpe_over_several_groups(spark, monkeypatch):
+@pytest.mark.parametrize("apart", [False, True])
+def test_bpe_over_several_groups(spark, monkeypatch, apart):
     import public_tokenizers as P
     import tiktoken
 
@@ -259,7 +261,7 @@ def test_bpe_over_several_groups(spark, monkeypatch):
     monkeypatch.setattr(byte_bpe, "GROUP_BYTES", 2000)
     monkeypatch.setattr(byte_bpe, "_ROW_WORDS", 7)
     df = rows(spark, [(i, t, "en", "s") for i, t in enumerate(data)]).coalesce(1)
-    got = byte_bpe.encode_and_check(df, ranks, P.PATTERN, keep_ids=True, max_pieces=20).collect()
+    got = byte_bpe.encode_and_check(df, ranks, P.PATTERN, keep_ids=True, max_pieces=20, apart=apart).collect()
     assert len(got) == len(data)
     for r in got:
         text = data[r.doc_id] or ""
