@@ -6,19 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barrspark.functions.scalars import center01, mean_of_known, ratio
-from barrspark.operators.concordance import both_ways
+from barrspark.operators.concordance import neighbours
 
 
-def partition_metrics(edges: DataFrame, sides: DataFrame) -> DataFrame:
+def partition_metrics(alleles: DataFrame, sides: DataFrame, mode: str = "binary") -> DataFrame:
     """By SNP: degree, strength and mean weight of both alleles, weights and neighbours within and across sides, separations."""
-    names = ["src_pos", "src_allele"], ["dst_pos", "dst_allele"]
-    of = lambda n, s: sides.select(F.col("pos").alias(n[0]), F.col("allele").alias(n[1]), F.col("side").alias(s))
-    ways = both_ways(edges).join(of(names[0], "s"), names[0]).join(of(names[1], "d"), names[1])
-    same, w = F.col("s") == F.col("d"), F.col("weight")
-    per = ways.groupBy(F.col("src_pos").alias("pos"), F.col("src_allele").alias("allele")).agg(
-        F.count("*").alias("degree"), F.sum(w).alias("strength"), F.avg(w).alias("mean_w"),
-        F.sum(F.when(same, w).otherwise(0.0)).alias("within_w"), F.sum(F.when(~same, w).otherwise(0.0)).alias("cross_w"),
-        F.count_if(same).alias("within_n"), F.count_if(~same).alias("cross_n"),
+    near, first = neighbours(alleles, mode, sides).where("n_0 + n_1 > 0"), F.col("side") == 0
+    within_n, cross_n = F.when(first, F.col("n_0")).otherwise(F.col("n_1")), F.when(first, F.col("n_1")).otherwise(F.col("n_0"))
+    within_w, cross_w = F.when(first, F.col("w_0")).otherwise(F.col("w_1")), F.when(first, F.col("w_1")).otherwise(F.col("w_0"))
+    degree, strength = F.col("n_0") + F.col("n_1"), F.col("w_0") + F.col("w_1")
+    per = near.select(
+        "pos", "allele", degree.alias("degree"), strength.alias("strength"), (strength / degree).alias("mean_w"),
+        within_w.alias("within_w"), cross_w.alias("cross_w"), within_n.alias("within_n"), cross_n.alias("cross_n"),
     )
     all_alleles = sides.select("pos", "allele").join(per, ["pos", "allele"], "left")
     pick = lambda a, c: F.max(F.when(F.col("allele") == a, F.col(c)))

@@ -110,7 +110,7 @@ class Run:
         stage1 = long.join(first.select("pos"), "pos", "left_semi")
 
         def metrics() -> DataFrame:
-            graph = validation.partition_metrics(concordance.concordance(stage1, mode), sides)
+            graph = validation.partition_metrics(stage1, sides, mode)
             covered = activity.coverage_features(sums.join(phased.select(F.col("pos").alias("POS")), "POS", "left_semi"), n_cells)
             return validation.validation_matrix(graph, activity.consistency(both), covered, activity.xa_xi_reads(both, calls))
 

@@ -425,9 +425,10 @@ m AS (SELECT pos AS POS, coalesce(sum(weight) FILTER (same), 0) AS ww, coalesce(
 SELECT POS, round(ww, 6) AS within_weight, round(cw, 6) AS cross_weight, wn AS within_degree, cn AS cross_degree, round((ww - cw) / nullif(ww + cw, 0), 6) AS partition_separation_w,
   round((wn - cn) / nullif(wn + cn, 0), 6) AS partition_separation_n FROM m""")
 def partition_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    al = alleles.allele_cells(P.standard(spark, sf_dir)).where("n > 0")
-    sides = al.select("pos", "allele").distinct().withColumn("side", F.when((F.col("pos") % 2 == 0) == (F.col("allele") == "ref"), 0).otherwise(1))
-    out = validation.partition_metrics(concordance.concordance(al), sides).where("within_degree + cross_degree > 0")
+    both = F.explode(F.array(F.lit("ref"), F.lit("alt"))).alias("allele")
+    named = P.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("pos"), both)
+    sides = named.withColumn("side", F.when((F.col("pos") % 2 == 0) == (F.col("allele") == "ref"), 0).otherwise(1))
+    out = validation.partition_metrics(alleles.allele_cells(P.standard(spark, sf_dir)), sides).where("within_degree + cross_degree > 0")
     return rounded(out.select("POS", "within_weight", "cross_weight", "within_degree", "cross_degree", "partition_separation_w", "partition_separation_n"))
 
 

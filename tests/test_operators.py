@@ -173,6 +173,22 @@ def test_cell_edges(spark, mode):
         assert {(names[a], names[b]): x for a, b, x in zip(src, dst, w, strict=True)} == want
 
 
+def test_partition_metrics_without_pairs(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(p), a, f"c{c}", 1) for c in range(9) for p in rng.choice(20, 8, replace=False) for a in ("alt", "ref") if rng.random() < 0.7]
+    long = spark.createDataFrame(rows, "pos long, allele string, cell_barcode string, n long")
+    sides = {(p, a): int(rng.integers(0, 2)) for p, a, *_ in rows}
+    want = {p: [0.0, 0.0, 0, 0] for p, _ in sides}
+    for r in concordance.both_ways(concordance.concordance(long)).collect():
+        cross = int(sides[r.src_pos, r.src_allele] != sides[r.dst_pos, r.dst_allele])
+        want[r.src_pos][cross] += r.weight
+        want[r.src_pos][2 + cross] += 1
+    out = validation.partition_metrics(long, spark.createDataFrame([(p, a, s) for (p, a), s in sides.items()], "pos long, allele string, side int"))
+    assert "src_pos" not in out._jdf.queryExecution().toString()
+    got = {r.POS: [r.within_weight, r.cross_weight, r.within_degree, r.cross_degree] for r in out.collect()}
+    assert got == {p: pytest.approx(m) for p, m in want.items()}
+
+
 @pytest.mark.parametrize("mode", concordance.MODES)
 def test_concordance(spark, mode):
     m = {(1, "ref"): [2, 0, 3], (1, "alt"): [1, 1, 0], (2, "ref"): [0, 4, 1], (2, "alt"): [5, 0, 0]}
