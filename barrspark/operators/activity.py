@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from barrspark.functions.scalars import ratio, wilson
 
@@ -30,12 +31,28 @@ def active_x(counts: DataFrame, genes: DataFrame, cells: DataFrame) -> DataFrame
 
 def xa_xi_reads(counts: DataFrame, calls: DataFrame) -> DataFrame:
     """Reads of the active and the inactive haplotype by SNP, over cells that have a call."""
-    both = counts.join(calls.where(F.col("active_X").isin("X1", "X2")).select("cell_barcode", "active_X"), "cell_barcode")
+    return _xa_xi(counts.join(calls.where(F.col("active_X").isin("X1", "X2")).select("cell_barcode", "active_X"), "cell_barcode"))
+
+
+def _xa_xi(both: DataFrame) -> DataFrame:
     one = F.col("active_X") == "X1"
     xa, xi = F.sum(F.when(one, F.col("h1")).otherwise(F.col("h2"))), F.sum(F.when(one, F.col("h2")).otherwise(F.col("h1")))
     return both.groupBy("POS").agg(xa.alias("Xa_reads"), xi.alias("Xi_reads")).withColumn("xa_xi_margin", ratio(F.col("Xa_reads") - F.col("Xi_reads"), F.col("Xa_reads") + F.col("Xi_reads")))
 
 
+def xa_xi_by_votes(counts: DataFrame, genes: DataFrame) -> DataFrame:
+    """:func:`xa_xi_reads` under the calls of :func:`active_x` on the same counts: rows go to their cells once for both."""
+    rows = counts.join(genes, "POS", "left").repartition("cell_barcode")  # serves all windows
+    gene = W.partitionBy("cell_barcode", "Gene").orderBy("POS")
+    first = (F.row_number().over(gene) == 1) & F.col("Gene").isNotNull()
+    top = lambda h: F.max(h).over(gene.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    votes = rows.withColumns({"v1": F.when(first, top("h1")), "v2": F.when(first, top("h2"))})
+    total = lambda v: F.sum(v).over(W.partitionBy("cell_barcode"))
+    call = votes.withColumns({"s1": total("v1"), "s2": total("v2")})
+    call = call.withColumn("active_X", F.when(F.col("s1") > F.col("s2"), "X1").when(F.col("s1") < F.col("s2"), "X2"))
+    return _xa_xi(call.where("active_X is not null"))
+
+
 def consistency(counts: DataFrame) -> DataFrame:
     """Share of cells in which haplotype 1 has more reads, among those that have a winner, with its interval."""
     n = F.count_if((F.col("h1") + F.col("h2") > 0) & (F.col("h1") != F.col("h2")))

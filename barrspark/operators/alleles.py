@@ -13,10 +13,11 @@ from barrspark.schema import COUNT_COLUMNS
 STANDARD = {"position": "POS", "refAllele": "REF", "altAllele": "ALT", "refCount": "REFcount", "altCount": "ALTcount", "gene": "Gene", "contig": "CONTIG", "totalCount": "TOTALcount", "otherCount": "OTHcount", "cell_barcode": "cell_barcode"}
 
 
-def standardise(counts: DataFrame) -> DataFrame:
+def standardise(counts: DataFrame, counted: bool = False) -> DataFrame:
     """The standard columns, of whatever case, with whole numbers; rows of a blank gene are left out.
 
-    A gene named ``.`` is no blank here. ``SNP_ID`` is contig, position and both alleles.
+    A gene named ``.`` is no blank here. ``SNP_ID`` is contig, position and both alleles. ``counted``: the counts come straight
+    from reads at known positions, so numbers are whole and never null; kept as they are, rows stay dealt by position.
     """
     by_lower = {c.lower(): c for c in counts.columns}
     if all(c.lower() in by_lower for c in COUNT_COLUMNS):
@@ -25,7 +26,7 @@ def standardise(counts: DataFrame) -> DataFrame:
     if missing:
         raise ValueError(f"the count table lacks {', '.join(missing)}")
     for c in ("POS", "REFcount", "ALTcount", "TOTALcount", "OTHcount"):
-        if c in counts.columns:
+        if c in counts.columns and not counted:
             counts = counts.withColumn(c, F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)).cast("long"))
     blank = F.upper(F.trim("Gene")).isin("", "NA", "-")
     if "CONTIG" in counts.columns:

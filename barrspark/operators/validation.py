@@ -19,7 +19,8 @@ def partition_metrics(alleles: DataFrame, sides: DataFrame, mode: str = "binary"
         "pos", "allele", degree.alias("degree"), strength.alias("strength"), (strength / degree).alias("mean_w"),
         within_w.alias("within_w"), cross_w.alias("cross_w"), within_n.alias("within_n"), cross_n.alias("cross_n"),
     )
-    all_alleles = sides.select("pos", "allele").join(per, ["pos", "allele"], "left")
+    # per has only alleles of sides, so a union serves as the join and needs one shuffle, by position
+    all_alleles = sides.select("pos", "allele").unionByName(per, allowMissingColumns=True)
     pick = lambda a, c: F.max(F.when(F.col("allele") == a, F.col(c)))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     out = all_alleles.groupBy(F.col("pos").alias("POS")).agg(

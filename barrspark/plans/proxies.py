@@ -29,7 +29,7 @@ def standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barrspark.operators.alleles import standardise
     from barrspark.operators.counting import allele_counts
 
-    return standardise(allele_counts(evidence(spark, sf_dir)))
+    return standardise(allele_counts(evidence(spark, sf_dir)), counted=True)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -367,8 +367,8 @@ def active_x(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM h JOIN act USING (cell) WHERE x <> 'X1/X2' GROUP BY pos)
 SELECT *, round((Xa_reads - Xi_reads) / nullif(Xa_reads + Xi_reads, 0), 6) AS xa_xi_margin FROM w""")
 def xa_xi_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, counts, calls = _haplotypes(spark, sf_dir)
-    return rounded(activity.xa_xi_reads(counts, calls))
+    std = P.standard(spark, sf_dir)
+    return rounded(activity.xa_xi_by_votes(activity.haplotype_counts(alleles.cell_sums(std), P.phased(spark, sf_dir)), alleles.best_gene(std)))
 
 
 @query(f"""WITH {ACTIVE}, w AS (SELECT pos AS POS, count(*) FILTER (h1 > h2) AS k, count(*) FILTER (h1 <> h2) AS n FROM h GROUP BY pos), p AS (SELECT *, k / nullif(n, 0) AS p FROM w)

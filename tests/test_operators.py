@@ -204,6 +204,32 @@ def test_concordance(spark, mode):
     assert got == want
 
 
+def test_votes_and_reads_by_one_shuffle(spark):
+    rows = [(1, "a", 3, 0), (1, "b", 0, 2), (2, "a", 1, 4), (2, "b", 5, 1), (3, "a", 0, 9), (3, "c", 2, 0), (4, "c", 1, 3), (4, "d", 2, 2), (5, "e", 7, 1)]
+    counts = spark.createDataFrame(rows, "POS long, cell_barcode string, h1 long, h2 long")
+    genes = spark.createDataFrame([(1, "g"), (2, "g"), (4, "h"), (5, None)], "POS long, Gene string")  # 3 has no gene, 5 a null one: no votes
+    out = activity.xa_xi_by_votes(counts, genes)
+    assert out._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(cell_barcode") == 1
+    want = activity.xa_xi_reads(counts, activity.active_x(counts, genes, counts))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect())) and out.count() == 4
+
+
+def test_counts_stay_dealt_by_position(spark, tmp_path):
+    from barrspark.plans import proxies
+
+    spark.createDataFrame([(7, 1, "A"), (7, 2, "N"), (7, 1, "R"), (8, 2, "A")], "l_partkey long, l_suppkey long, l_returnflag string").selectExpr("1L l_orderkey", "1 l_linenumber", "*").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7, "x"), (8, "y")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sums = alleles.cell_sums(proxies.standard(spark, str(tmp_path)))
+        plan = sums._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange ") == 2, "the join's two shuffles are the only ones"
+    assert sorted(map(tuple, sums.collect())) == [(7, "C1", 1, 0), (7, "C2", 0, 1), (8, "C2", 1, 0)]
+
+
 @pytest.mark.parametrize("mode", concordance.MODES)
 def test_degrees_without_pairs(spark, mode):
     rng = np.random.default_rng(3)
