@@ -230,6 +230,20 @@ def test_counts_stay_dealt_by_position(spark, tmp_path):
     assert sorted(map(tuple, sums.collect())) == [(7, "C1", 1, 0), (7, "C2", 0, 1), (8, "C2", 1, 0)]
 
 
+@pytest.mark.parametrize("mode", ["overlap", "cosine"])
+def test_degrees_by_five_shuffles(spark, mode):
+    """Both sides of the join of reads, positions by range, cells, blocks; counts aren't shuffled again by position and cell."""
+    from barrspark.plans import queries
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.QUERIES[f"concordance_{mode}_degrees"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange ") == 5
+
+
 @pytest.mark.parametrize("mode", concordance.MODES)
 def test_degrees_without_pairs(spark, mode):
     rng = np.random.default_rng(3)
