@@ -25,11 +25,13 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+def standard(spark: SparkSession, sf_dir: str, alleles_only: bool = False) -> DataFrame:
+    """The standard table of the reads; ``alleles_only`` drops those of neither allele before they are joined, for what only counts alleles."""
     from barrspark.operators.alleles import standardise
     from barrspark.operators.counting import allele_counts
 
-    return standardise(allele_counts(evidence(spark, sf_dir)), counted=True)
+    reads = evidence(spark, sf_dir)
+    return standardise(allele_counts(reads.where("allele_class <> 'other'") if alleles_only else reads), counted=True)
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -268,7 +268,7 @@ SELECT pos, allele, count(*) AS degree, round(sum(weight), 6) AS strength, round
 
 def _graph(mode: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(concordance.degrees(alleles.allele_cells(P.standard(spark, sf_dir)), mode))
+        return rounded(concordance.degrees(alleles.allele_cells(P.standard(spark, sf_dir, alleles_only=True)), mode))
 
     run.__name__ = f"concordance_{mode}_degrees"
     return run

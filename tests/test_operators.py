@@ -285,6 +285,49 @@ def test_cells_of_all_blocks_in_few_bytes(spark, mode):
     assert sent(out._jdf.queryExecution().executedPlan())[0] < 30 * len(rows)
 
 
+@pytest.mark.parametrize("mode", ["overlap", "cosine"])
+def test_degrees_by_small_shuffles(spark, mode, tmp_path):
+    """Reads of neither allele aren't shuffled, positions go by their codes, and entries to their cells in packed pieces."""
+    from barrspark.plans import queries
+
+    rng = np.random.default_rng(5)
+    rows = [(int(p), c, "ANR"[int(rng.integers(0, 3))]) for c in range(60) for p in rng.choice(500, 200, replace=False)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_returnflag string").selectExpr("1L l_orderkey", "1 l_linenumber", "*").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(500).selectExpr("id p_partkey", "'x' p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = queries.QUERIES[f"concordance_{mode}_degrees"](spark, str(tmp_path))
+        got = out.count(), out.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    some = [r for r in rows if r[2] != "R"]
+    assert got[0] == len({(p, f) for p, _, f in some}) and all(r.degree > 0 for r in got[1])
+
+    def sent(node):
+        """Rows and bytes of each shuffle, the last first."""
+        name, of = node.nodeName(), node.metrics()
+        below = [node.executedPlan()] if name.startswith("AdaptiveSparkPlan") else [node.plan()] if "QueryStage" in name else [node.children().apply(i) for i in range(node.children().size())]
+        return [*([tuple(of.apply(m).value() for m in ("shuffleRecordsWritten", "dataSize"))] if name == "Exchange" else []), *[x for b in below for x in sent(b)]]
+
+    _, cells, positions, reads, _ = sent(out._jdf.queryExecution().executedPlan())
+    assert reads[0] == len(some)
+    assert positions[1] <= 40 * len(some) and cells[1] < 16 * len(some)
+
+
+def test_pieces_of_cells():
+    """Entries come back as they were, whatever the width of their numbers and however few are unpacked at once."""
+    cell = pa.array(["a", "b", "a", "c", "b", "a"])
+    code, n, by, block = np.array([-3, -3, 0, 5, 1 << 40, 1 << 56]), np.array([1, 2, 300, 4, 5, 1 << 40]), np.array([7, 7, 1, 1, 1, 1 << 50]), 3
+    for side in (np.zeros(6, np.int8), np.array([0, 1, 0, 0, 1, 1], np.int8)):
+        rows = [concordance.pieces_of_cells(cell[i:j], *(x[i:j] for x in (code, n, by, side)), block) for i, j in ((0, 3), (3, 6))]
+        pieces = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        for at_once in (1, 2, 100):
+            got = [(c, *map(int, row)) for cells, starts, columns in concordance.entries_of_pieces(pieces.slice(0), at_once) for c, a, b in zip(cells.to_pylist(), starts, starts[1:], strict=False) for row in zip(*(x[a:b] for x in columns), strict=True)]
+            assert sorted(got) == sorted((c, *map(int, row), block) for c, *row in zip(cell.to_pylist(), code, n, by, side, strict=True))
+    assert list(concordance.entries_of_pieces(pieces.slice(0, 0))) == []
+
+
 def test_messages_of_cells():
     """Gaps of any width, sides, and cells of one allele or one block come out as block_sums has them from the counts."""
     rng = np.random.default_rng(2)
