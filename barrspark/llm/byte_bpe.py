@@ -2,8 +2,8 @@
 
 Distinct words (pre-token pieces) are encoded by a Spark higher-order function that folds ranked
 merges over the ids of their bytes, with the ranks in a literal map. Spark searches a map from end to
-end, so the literal is an array of small maps, chosen by bits of both ids. The fold's state holds each id with the rank
-of its pair with the next, so that a step looks two pairs up.
+end, so the literal is an array of small maps, chosen by both ids. The fold's state holds each id with its place and the
+rank of its pair with the next, so that a step looks two pairs up and goes through the ids by lambda once. A word comes as its first state.
 
 The most frequent pieces of the corpus, counted over all of it, are folded once and broadcast as a
 dictionary of flat sorted arrays, made in one task, whose number and length of pieces are bounded. Every other piece goes through the
@@ -35,8 +35,8 @@ from barrspark.llm.stretches import BLOCK_BYTES, Numbers, blocks, distinct, text
 MAX_PIECES, MAX_PIECE_BYTES = 400_000, 32
 #: Pieces above this many bytes are merged with a heap.
 FOLD_BYTES = 256
-#: Ids take so many bits; the literal rank map has ``_BUCKETS`` maps, a power of two.
-_BITS, _BUCKETS = 20, 1 << 15
+#: Ids and places take so many bits; the literal rank map has ``_BUCKETS`` maps, a prime.
+_BITS, _BUCKETS = 20, 32749
 _ID = (1 << _BITS) - 1
 #: Bytes of the documents whose distinct pieces are folded together; a longer document is a group of its own.
 GROUP_BYTES = 3_000_000
@@ -79,7 +79,7 @@ def rank_literal(spark: SparkSession, ranks: dict[bytes, int]) -> Column:
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    out[(a ^ a >> 7 ^ b << 5) & (_BUCKETS - 1)][a << _BITS | b] = rank
+                    out[(a << _BITS | b) % _BUCKETS][a << _BITS | b] = rank
         kind = pa.list_(pa.map_(pa.int64(), pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array([[list(x.items()) for x in out]], kind)], ["ranks"])
 
@@ -94,8 +94,18 @@ def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
+def first_states(words: list[bytes], single: np.ndarray, pairs: np.ndarray) -> pa.ListArray:
+    """What the fold starts with: for each byte of a word its id, above it its place, on top the rank of its pair with the next."""
+    edges, letters = _offsets([len(x) for x in words]), np.frombuffer(b"".join(words), np.uint8)
+    ranks = np.full(len(letters), _ID, np.int64)
+    ranks[:-1] = pairs[letters[:-1].astype(np.int64) << 8 | letters[1:]]
+    ranks[edges[1:][np.diff(edges) > 0] - 1] = _ID  # the last of a word has no pair
+    places = np.arange(len(letters)) - np.repeat(edges[:-1], np.diff(edges))
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ranks << 2 * _BITS | places << _BITS | single[letters], pa.int64()))
+
+
 def fold_merges(words: Column, ranks: Column) -> Column:
-    """Ids of each of an array of words, which are arrays of the ids of their bytes.
+    """Last states of each of an array of words, which are :func:`first_states`; their low bits are the ids.
 
     Each step joins the adjacent pair of lowest rank, leftmost first; a state without a known pair stays as it is.
     """
@@ -103,44 +113,40 @@ def fold_merges(words: Column, ranks: Column) -> Column:
 
 
 def _fold(word: Column, table: Column) -> Column:
-    """The state is an array of numbers: an id in the low bits, above it the rank of its pair with the next id.
+    """The least number of a state is the leftmost pair of lowest rank, and no two are equal, so array functions find them.
 
     Spark interprets lambdas, and bit operations are its quickest arithmetic there.
     """
-    none = _ID << _BITS
+    none = _ID << 2 * _BITS
 
-    def held(a: Column, b: Column) -> Column:
-        """``a`` with the rank of its pair with ``b``."""
-        bucket = a.bitwiseXOR(F.shiftright(a, 7)).bitwiseXOR(F.shiftleft(b, 5)).bitwiseAND(_long(_BUCKETS - 1))
-        rank = F.try_element_at(F.get(table, bucket.cast("int")), F.shiftleft(a, _BITS).bitwiseOR(b))
-        return F.shiftleft(F.coalesce(rank, _long(_ID)), _BITS).bitwiseOR(a)
+    def rank_of(pair: Column) -> Column:
+        """The rank of two ids, as one number, where a state has it."""
+        found = F.try_element_at(F.get(table, F.pmod(pair, _long(_BUCKETS))), pair)
+        return F.coalesce(F.shiftleft(found, 2 * _BITS), _long(none))
 
-    def last(a: Column) -> Column:
-        return _long(none).bitwiseOR(a)
+    def joined(p: Column, best: Column, i: Column) -> Column:
+        """``best``, the ``i``-th from 1 on, with the next as one id; the one before gets the rank of its new pair."""
+        both = F.shiftright(best, 2 * _BITS)
+        after = F.shiftright(best, _BITS).bitwiseAND(_long(_ID << _BITS)).bitwiseOR(F.get(p, i + 1).bitwiseAND(_long(_ID)))
+        new = rank_of(after).bitwiseOR(best.bitwiseAND(_long(_ID << _BITS))).bitwiseOR(both)
 
-    def id_of(x: Column) -> Column:
-        return x.bitwiseAND(_long(_ID))
+        def turned(x: Column) -> Column:
+            return rank_of(F.shiftleft(x.bitwiseAND(_long(_ID)), _BITS).bitwiseOR(both)).bitwiseOR(x.bitwiseAND(_long((1 << 2 * _BITS) - 1)))
 
-    def joined(p: Column, rank: Column, before: Column, at: Column, after: Column) -> Column:
-        def put(x: Column, k: Column) -> Column:
-            both = F.coalesce(held(rank, id_of(F.get(p, after + 1))), last(rank))
-            return F.when(k == at, both).otherwise(F.when(k == before, held(id_of(x), rank)).otherwise(x))
+        rest, none_before = F.array_remove(p, F.get(p, i)), _long(-1)
 
-        return F.filter(F.transform(p, put), lambda _, k: k != after)
+        def put(now: Column, x: Column, then: Column) -> Column:
+            return F.transform(rest, lambda e: F.when(e == best, now).otherwise(F.when(e == x, then).otherwise(e)))
 
-    def merged(p: Column, best: Column) -> Column:
-        """``best``: the lowest rank, and below it the place of its first pair."""
-        rank = F.shiftright(best, _BITS)
-        return _let(id_of(best).cast("int"), lambda i: _let(i - 1, lambda h: _let(i + 1, lambda j: joined(p, rank, h, i, j))))
+        before = F.when(i == 1, none_before).otherwise(F.get(p, i - 2))
+        return _let(new, lambda now: _let(before, lambda x: _let(turned(x), lambda then: put(now, x, then))))
 
     def step(p: Column, _: Column) -> Column:
-        places = F.transform(p, lambda x, i: x.bitwiseAND(_long(~_ID)).bitwiseOR(i.cast("long")))
-        return F.when(F.array_min(p) >= _long(none), p).otherwise(_let(F.array_min(places), lambda best: merged(p, best)))
+        at = lambda best: _let(F.array_position(p, best).cast("int"), lambda i: joined(p, best, i))
+        return F.when(F.array_min(p) >= _long(none), p).otherwise(_let(F.array_min(p), at))
 
-    ids = word.cast("array<bigint>")
-    rest = F.slice(ids, F.lit(2), F.size(ids))
-    start = F.zip_with(ids, rest, lambda a, b: F.coalesce(held(a, b), last(a)))
-    return F.transform(F.aggregate(rest, start, step), lambda x: id_of(x).cast("int"))
+    # a word has fewer pairs than bytes
+    return F.aggregate(word, word, step)
 
 
 def merge_with_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -228,12 +234,21 @@ def _single_bytes(ranks: dict[bytes, int]) -> np.ndarray:
     return np.array([ranks[bytes([x])] for x in range(256)], np.int32)
 
 
-def _byte_ids(single: np.ndarray):
-    """Rows of many pieces, with the ids of the bytes of each."""
+def _byte_pairs(ranks: dict[bytes, int]) -> np.ndarray:
+    """The rank of each pair of bytes, at 256 times the first and the second."""
+    out = np.full(1 << 16, _ID, np.int64)
+    for token, rank in ranks.items():
+        if len(token) == 2:
+            out[token[0] << 8 | token[1]] = rank
+    return out
+
+
+def _byte_ids(single: np.ndarray, pairs: np.ndarray):
+    """Rows of many pieces, with the first state of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = pa.array([single[np.frombuffer(x.as_py(), np.uint8)] for x in b.column(0)], pa.list_(pa.int32()))
+            words = first_states(b.column(0).to_pylist(), single, pairs)
             rows = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), x) for x in (b.column(0), words)]
             yield pa.RecordBatch.from_arrays(rows, ["pieces", "words"])
 
@@ -266,7 +281,7 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words += b.column(0).flatten().to_pylist()
         folded = b.column(1).flatten()
         sizes.append(folded.value_lengths().to_numpy(zero_copy_only=False))
-        ids.append(folded.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+        ids.append((folded.flatten().to_numpy(zero_copy_only=False) & _ID).astype(np.int32))
     keys = _hashes(words)
     order = np.argsort(keys, kind="stable")
     sizes, ids = np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, np.int32), *ids])
@@ -304,25 +319,23 @@ class Dictionary:
 #: Rows of a group of documents: words to fold, and in its last row: ids, numbers of stretches, pieces by stretch and in all,
 #: the place of each piece among first the given, then the folded words, lengths and ids of the given words. The last two
 #: columns are the group's number and the row's number in it.
-_GROUP = "docs array<bigint>, numbers array<binary>, per binary, pieces binary, slots binary, sizes binary, given binary, words array<array<int>>, grp long, part long"
+_GROUP = "docs array<bigint>, numbers array<binary>, per binary, pieces binary, slots binary, sizes binary, given binary, words array<array<bigint>>, grp long, part long"
 
 
 def _group(pattern: str, known, ranks, size: int, row_words: int):
-    """Groups of documents with the ids of their known pieces and the distinct other pieces as arrays of byte ids."""
+    """Groups of documents with the ids of their known pieces and the first states of the distinct other pieces."""
     names = [x.split()[0] for x in _GROUP.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, by_rank = regex.compile(pattern).findall, ranks.value
-        single, table = _single_bytes(by_rank), known.value
+        single, pairs, table = _single_bytes(by_rank), _byte_pairs(by_rank), known.value
         group = itertools.count(TaskContext.get().partitionId() << 33)
 
         def rows(others: list[bytes], last: list[pa.Array]) -> Iterator[pa.RecordBatch]:
             mine = next(group)
             for at in range(0, max(1, len(others)), row_words):
                 part = others[at : at + row_words]
-                letters = pa.array(single[np.frombuffer(b"".join(part), np.uint8)], pa.int32())
-                inner = pa.ListArray.from_arrays(pa.array(_offsets([len(x) for x in part]), pa.int32()), letters)
-                words = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), inner)
+                words = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), first_states(part, single, pairs))
                 ends = at + row_words >= len(others)
                 place = [pa.array([x], pa.int64()) for x in (mine, at)]
                 yield pa.RecordBatch.from_arrays([*(x if ends else pa.nulls(1, x.type) for x in last), words, *place], names)
@@ -378,7 +391,7 @@ def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | Non
         for k in range(b.num_rows):
             words = b.column(7)[k].values
             sizes_.append(words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            ids_.append(words.flatten().to_numpy(zero_copy_only=False).astype("<u4"))
+            ids_.append((words.flatten().to_numpy(zero_copy_only=False) & _ID).astype("<u4"))
             if not b.column(0)[k].is_valid:
                 continue
             per, of, slots, sizes, given = (np.frombuffer(b.column(i)[k].as_py(), "<u4") for i in range(2, 7))
@@ -408,7 +421,7 @@ def _folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str, d
     table = rank_literal(spark, ranks)
     counts = materialize(piece_counts(texts.select("text"), pattern), "pieces")
     frequent = _frequent(counts, max_pieces).select("piece").repartition(max(1, spark.sparkContext.defaultParallelism))
-    words = frequent.mapInArrow(_byte_ids(_single_bytes(ranks)), "pieces array<binary>, words array<array<int>>")
+    words = frequent.mapInArrow(_byte_ids(_single_bytes(ranks), _byte_pairs(ranks)), "pieces array<binary>, words array<array<bigint>>")
     found = materialize(_with_ids(words, table), "dictionary")
     # the dictionary's size is bounded, so one task lays it out
     row = found.coalesce(1).mapInArrow(_flat, ", ".join(f"{c} binary" for c in _FLAT)).first()

@@ -324,6 +324,22 @@ def test_heap_equals_fold_order():
         assert byte_bpe.merge_with_heap(s.encode(), ranks) == enc.encode_ordinary(s)
 
 
+def test_fold_goes_through_ids_once_a_step(spark):
+    """Also where different pairs make one token, overlap, or come to be of lower rank by another merge."""
+    tokens = [bytes([x]) for x in range(256)] + [b"abc", b"aa", b"ab", b"aaa", b"bc", b"ca", b"aaaa", b"cab", b"abcab"]
+    ranks = {t: i for i, t in enumerate(tokens)}
+    rng = np.random.default_rng(4)
+    words = [*ranks, *(bytes(rng.choice(list(b"abc"), n).astype(np.uint8)) for n in (2, 3, 5, 8, 13, 40, 256) for _ in range(9))]
+    some = [words[:3], words[3:], []]
+    single, pairs = byte_bpe._single_bytes(ranks), byte_bpe._byte_pairs(ranks)
+    rows = spark.createDataFrame([(i, byte_bpe.first_states(x, single, pairs).to_pylist()) for i, x in enumerate(some)], "i int, words array<array<bigint>>")
+    out = byte_bpe._with_ids(rows, byte_bpe.rank_literal(spark, ranks))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan
+    for i, found in out.collect():
+        assert [[x & byte_bpe._ID for x in w] for w in found] == [byte_bpe.merge_with_heap(w, ranks) for w in some[i]]
+
+
 BASE = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
